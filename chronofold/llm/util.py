@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one Python step works on at a time; bounds a worker's memory whatever the row count.
@@ -55,3 +55,8 @@ def put(df: DataFrame, **columns) -> DataFrame:
     """``df`` with these columns added; a column of ``df`` that has the name (in any case) is replaced."""
     taken = {c.lower() for c in columns}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken], *[v.alias(k) for k, v in columns.items()])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often and in whatever lambda ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
