@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, tokens, urls
+from . import bpe, chat, decontam, simhash, tokens, urls
 from .util import table
 
 
@@ -69,6 +69,11 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(turns.unionByName(spark.range(1, numPartitions=1).select(F.inline(own))), budget=1024)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=3, budget=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -96,6 +101,6 @@ SELECT page_id, n.host, n.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
 FROM named n LEFT JOIN best b ON n.host = b.host AND n.path = b.path
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_bpe, op5_chat, op10_url_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_bpe, op5_chat, op7_simhash, op10_url_filters)}
 
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op10_url_filters": OP10_SQL}
