@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .pieces import sections
-from .util import put, steps
+from .util import fresh, put, steps
 
 SHORT = 32
 #: Pieces that a worker remembers; beyond that it starts anew, so its memory is bounded.
@@ -194,6 +195,7 @@ def encode(df: DataFrame, path: str, *, text: str = "text", ids: str = "ids") ->
 
     Null and empty texts have no ids.  A column called ``ids`` is replaced.
     """
+    ship(df.sparkSession)
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -208,6 +210,7 @@ def encode(df: DataFrame, path: str, *, text: str = "text", ids: str = "ids") ->
 
 def decode(df: DataFrame, path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text of its column ``ids``; null ids give the empty text."""
+    ship(df.sparkSession)
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -224,6 +227,7 @@ def round_trip(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     Ids and decoded texts stay in the worker, a step of ``STEP_BYTES`` at a time.  Null texts are empty.  Columns of these names are
     replaced.
     """
+    ship(df.sparkSession)
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -238,6 +242,6 @@ def round_trip(df: DataFrame, path: str, *, text: str = "text") -> DataFrame:
                     plain.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    at = "_round_trip"
+    at = fresh(df, "round_trip")
     out = put(df, **{at: run(F.col(f"`{text}`"))})
     return put(out, **{c: F.col(f"{at}.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop(at)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, simhash, tokens, urls
+from . import bpe, chat, decontam, html, media, quality, secrets, simhash, tokens, urls
 from .util import table
 
 
@@ -62,6 +62,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, vocabulary()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -69,11 +74,24 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(turns.unionByName(spark.range(1, numPartitions=1).select(F.inline(own))), budget=1024)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=3, budget=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
+    return quality.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -101,6 +119,6 @@ SELECT page_id, n.host, n.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
 FROM named n LEFT JOIN best b ON n.host = b.host AND n.path = b.path
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_bpe, op5_chat, op7_simhash, op10_url_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_bpe, op4_secrets, op5_chat, op6_html, op7_simhash, op8_quality, op9_media, op10_url_filters)}
 
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op10_url_filters": OP10_SQL}

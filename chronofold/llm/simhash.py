@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .components import components
 from .util import put, shared, steps
 
@@ -80,6 +81,7 @@ def fingerprints(texts: list[str], shingle: int = 3) -> np.ndarray:
 
 def with_fingerprints(df: DataFrame, *, text: str = "text", out: str = "fp", shingle: int = 3) -> DataFrame:
     """``df`` with the fingerprint of its column ``text`` as a signed long; null is the empty text."""
+    ship(df.sparkSession)
 
     @F.arrow_udf("long")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -181,6 +183,7 @@ def links(prints: DataFrame, *, budget: int = BUDGET, leaf: int = LEAF) -> DataF
 
     A link joins fingerprints that differ in at most ``budget`` bits (below 64).
     """
+    ship(prints.sparkSession)
     cuts = [64 * i // (budget + 1) for i in range(budget + 2)]
     blocks = [F.struct(F.lit(i).alias("block"), (F.shiftrightunsigned("fp", 64 - hi) if hi < 64 else F.col("fp")).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 63 else -1)).alias("bits")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
     dealt = prints.where("node is not null").select("fp", "node", F.explode(F.array(*blocks)).alias("b")).select("fp", "node", "b.block", "b.bits")

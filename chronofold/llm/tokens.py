@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .pieces import cut
 from .util import put, steps
 
@@ -73,6 +74,7 @@ def token_counts(df: DataFrame, path: str, *, text: str = "text", limit: int = 1
     strings of special tokens inside a text count as the library's default has it.  Null and empty texts have 0 bytes and 0
     tokens.  Columns of ``df`` called like the results are replaced; rows are neither dropped nor merged.
     """
+    ship(df.sparkSession)
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
