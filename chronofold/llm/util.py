@@ -35,11 +35,17 @@ def steps(array: pa.Array, most: int = STEP_BYTES) -> Iterator[list[str]]:
         start = stop
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the folder the cluster names; one is made up only where none is set."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; one of this machine is made up only where none is named, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
