@@ -771,3 +771,85 @@ def init_hydrate(s, d):
     ops = bridge.map_ops(s, d)
     c = commands(ops, F.lit('"set"').alias("tree"))
     return mutations.create_trees(ops, c).select("doc_id", "op_ctr", "map_key", F.size("pred").cast("long").alias("n_pred"))
+
+
+# peers, containers and streams: no SQL for filters, wire forms and stateful steps; what SQL can tell of them it is asked for
+
+
+def folder(s, name: str) -> str:
+    """A new folder where the cluster keeps checkpoints."""
+    import tempfile
+    import uuid
+
+    return f"{s.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT doc_id, {HASH_SQL.format('')} AS hash FROM changes")
+def apply_change(s, d):
+    """Changes arrive latest first, a file at a time, and go on in causal order."""
+    from ..streaming import causal
+
+    c, path = bridge.changes(s, d), folder(s, "stream")
+    for part in (c.where("seq % 3 = 0"), c.where("seq % 3 = 2"), c.where("seq % 3 = 1")):
+        part.select(*causal.COLUMNS).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = s.readStream.schema(c.select(*causal.COLUMNS).schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    q = causal.release(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.parquet(f"{path}/out").select("doc_id", hx("hash").alias("hash"))
+
+
+@query(None)
+def bloom_probes(s, d):
+    """For each change the bits that it sets in a filter of all changes of its document."""
+    from ..functions.bloom import BITS, probes
+    from ..functions.ship import ship
+
+    ship(s)
+
+    @F.arrow_udf("array<bigint>")
+    def bits(hashes, sizes):
+        import pyarrow as pa
+
+        return pa.array([probes(h, n) for h, n in zip(hashes.to_pylist(), sizes.to_pylist(), strict=True)], pa.list_(pa.int64()))
+
+    c = bridge.changes(s, d)
+    size = c.groupBy("doc_id").agg((F.ceil(F.count(F.lit(1)) * BITS / 8) * 8).cast("long").alias("size"))
+    return c.join(size, "doc_id").select("doc_id", hx("hash").alias("hash"), "size", bits("hash", "size").alias("bits"))
+
+
+@query(None)
+def sync_filtered(s, d):
+    """What to send a peer that has sent a filter of what it has had since the shared heads; never less than it lacks but for false hits."""
+    c, at = past(s, d)
+    held = c.join(history.ancestors(c, at), ["doc_id", "hash"], "left_semi")
+    return ch.to_send(c, ch.bloom_filters(held)).select("doc_id", hx("hash").alias("hash"))
+
+
+@query(None)
+def sync_message(s, d):
+    c, at = past(s, d)
+    m = ch.sync_messages(c, at, ch.heads(c))
+    return m.select("doc_id", F.size("heads").alias("n_heads"), F.size("need").alias("n_need"), F.size("have_since").alias("n_since"), F.octet_length("have_bits").alias("n_bits"))
+
+
+def committed(s, d):
+    # a deletion of what is not there has no place in a document
+    ops = bridge.map_ops(s, d).where(~((F.col("action") == 3) & (F.size("pred") == 0)))
+    first = ops.groupBy("doc_id", F.col("op_actor").alias("actor")).agg(F.lit(1).cast("long").alias("seq"))
+    meta = first.select("*", F.lit(0).cast("long").alias("time"), F.lit("all").alias("message"), F.array().cast("array<binary>").alias("deps"))
+    return ops, mutations.commit(ops, meta)
+
+
+@query("SELECT doc_id, actor, CAST(1 AS BIGINT) AS seq, min(ctr) AS start_op, max(ctr) AS max_op FROM ops WHERE NOT (action = 3 AND p_ctr IS NULL) GROUP BY doc_id, actor")
+def commit(s, d):
+    return committed(s, d)[1].select("doc_id", hx("actor").alias("actor"), "seq", "start_op", "max_op")
+
+
+@query(f"SELECT {OP_SQL}, CAST(action AS INT) AS action, {VALUE_SQL}, p_ctr AS pred_ctr FROM ops WHERE NOT (action = 3 AND p_ctr IS NULL)")
+def load_containers(s, d):
+    """Every document written as a container, and read back."""
+    from ..sources import container
+
+    ops, changes = committed(s, d)
+    back, _ = container.read(container.write(ops, changes))
+    return back.select(*op_columns(), F.col("action").cast("int").alias("action"), F.col("value.d").alias("value"), F.try_element_at("pred", F.lit(1))["ctr"].alias("pred_ctr"))
