@@ -196,7 +196,7 @@ def _order(r: dict) -> tuple:
 def encode_document(rows: list[dict], changes: list[dict]) -> bytes:
     """A document's chunk, from all its ops (with pred) and changes.
 
-    Deletions that overwrite nothing cannot be written: leave them out before the changes are hashed.
+    Deletions that overwrite nothing, and edges that name a deletion, cannot be written: leave them out before the changes are hashed.
     """
     actors = sorted({bytes(a) for r in rows for a in (r["op_actor"], *(p["actor"] for p in r["pred"] or []))} | {bytes(c["actor"]) for c in changes})
     idx = {a: i for i, a in enumerate(actors)}

@@ -833,19 +833,19 @@ def sync_message(s, d):
 
 
 def committed(s, d):
-    # a deletion of what is not there has no place in a document
-    ops = bridge.map_ops(s, d).where(~((F.col("action") == 3) & (F.size("pred") == 0)))
+    # deletions of nothing, and what overwrites deletions, have no place in a container: here without any
+    ops = visibility.derive_pred(visibility.derive_succ(bridge.map_ops(s, d).where("action <> 3"))).drop("succ")
     first = ops.groupBy("doc_id", F.col("op_actor").alias("actor")).agg(F.lit(1).cast("long").alias("seq"))
     meta = first.select("*", F.lit(0).cast("long").alias("time"), F.lit("all").alias("message"), F.array().cast("array<binary>").alias("deps"))
     return ops, mutations.commit(ops, meta)
 
 
-@query("SELECT doc_id, actor, CAST(1 AS BIGINT) AS seq, min(ctr) AS start_op, max(ctr) AS max_op FROM ops WHERE NOT (action = 3 AND p_ctr IS NULL) GROUP BY doc_id, actor")
+@query("SELECT doc_id, actor, CAST(1 AS BIGINT) AS seq, min(ctr) AS start_op, max(ctr) AS max_op FROM ops WHERE action <> 3 GROUP BY doc_id, actor")
 def commit(s, d):
     return committed(s, d)[1].select("doc_id", hx("actor").alias("actor"), "seq", "start_op", "max_op")
 
 
-@query(f"SELECT {OP_SQL}, CAST(action AS INT) AS action, {VALUE_SQL}, p_ctr AS pred_ctr FROM ops WHERE NOT (action = 3 AND p_ctr IS NULL)")
+@query(f"SELECT {OP_SQL}, CAST(action AS INT) AS action, {VALUE_SQL}, CASE WHEN p_action <> 3 THEN p_ctr END AS pred_ctr FROM (SELECT *, lag(action) OVER (PARTITION BY doc_id, map_key, actor ORDER BY ctr) AS p_action FROM ops) WHERE action <> 3")
 def load_containers(s, d):
     """Every document written as a container, and read back."""
     from ..sources import container
