@@ -24,7 +24,7 @@ from .util import fresh, put, steps
 
 SHORT = 32
 #: Pieces that a worker remembers; beyond that it starts anew, so its memory is bounded.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Words in one array step.
 ROWS = 1 << 15
 

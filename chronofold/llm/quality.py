@@ -4,7 +4,7 @@ Random indexing: every token bucket has a sparse ternary index vector, and its w
 neighbours over the whole corpus, plus its own.  Documents are pooled to the mean of their tokens' vectors; a two-layer numpy network scores
 them, and a temperature fitted on rows that it has not been trained on calibrates its probabilities.
 
-Sums of index vectors are whole numbers, so that word vectors, and with them scores, do not depend on how the rows are dealt out.
+Sums of index vectors are whole numbers, so that word vectors do not depend on how the rows are dealt out, nor scores beyond rounding.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
-from .util import put, strings
+from .util import put, steps
 
 #: Token buckets, dimensions, entries of an index vector that are not zero, neighbours on each side.
 BUCKETS, DIMENSIONS, ENTRIES, WINDOW = 4096, 32, 4, 2
@@ -25,7 +25,7 @@ FEATURES = DIMENSIONS + WINDOW + 2
 #: Labelled rows that the network is fitted on, at most: those with the least hashes of their ids.
 MOST_LABELLED = 20_000
 #: Bytes that are taken apart at once; longer texts are cut at white space or, without any, wherever they are.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 # Byte classes: 0 white space and controls, 1 letters (and all beyond ASCII), 2 digits, 3 punctuation.
 _CLASS = np.array([0 if b <= 32 or b == 127 else 2 if 48 <= b <= 57 else 1 if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 3 for b in range(256)], np.uint8)
@@ -110,13 +110,14 @@ def context_sums(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, seen = np.zeros(BUCKETS * BUCKETS, np.int32), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for raw, _, starts in parts(strings(batch.column(0))):
-                t, at = tokens(raw)
-                seen += np.bincount(t, minlength=BUCKETS)
-                owner = np.searchsorted(starts, at, "right")
-                for d in range(1, WINDOW + 1):
-                    same = owner[d:] == owner[:-d]
-                    np.add.at(pairs, t[:-d][same] * BUCKETS + t[d:][same], 1)
+            for texts in steps(batch.column(0)):
+                for raw, _, starts in parts(texts):
+                    t, at = tokens(raw)
+                    seen += np.bincount(t, minlength=BUCKETS)
+                    owner = np.searchsorted(starts, at, "right")
+                    for d in range(1, WINDOW + 1):
+                        same = owner[d:] == owner[:-d]
+                        np.add.at(pairs, t[:-d][same] * BUCKETS + t[d:][same], 1)
         if seen.any():
             own, table = index_vectors().astype(np.float64), pairs.reshape(BUCKETS, BUCKETS)
             sums = np.zeros((BUCKETS, DIMENSIONS))
@@ -226,12 +227,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
     sc = docs.sparkSession.sparkContext
     own = sc.broadcast(vectors)
     chosen = labels.select(F.col(f"`{id}`").alias("id"), F.col(f"`{label}`").cast("double").alias("y")).where("id is not null and y is not null")
-    chosen = chosen.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id", "y").limit(most)
+    chosen = chosen.where(~held_out(F.col("id")))
+    # only hashes up to where the least of them are expected to end, so that few more than ``most`` rows meet for the choice
+    share = min(1.0, 1.2 * most / max(1, chosen.count()))
+    chosen = chosen.where(F.xxhash64("id").cast("double") <= (2 * share - 1) * 2.0**63).orderBy(F.xxhash64("id"), "id", "y").limit(most)
 
     @F.arrow_udf("array<double>")
     def pool(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            x = pooled(strings(batch), own.value)
+            x = np.concatenate([np.empty((0, FEATURES)), *(pooled(texts, own.value) for texts in steps(batch))])
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id").select("id", "y", pool("text").alias("x"))
@@ -250,7 +254,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network, *, text: str =
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vectors, network = model.value
         for batch in batches:
-            yield pa.array(network(pooled(strings(batch), vectors)), pa.float64())
+            yield pa.array(np.concatenate([np.empty(0), *(network(pooled(texts, vectors)) for texts in steps(batch))]), pa.float64())
 
     out = put(docs, score=run(F.col(f"`{text}`")))
     return put(out, predicted=(F.col("score") >= 0.5).cast("int"))

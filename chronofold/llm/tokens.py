@@ -19,7 +19,7 @@ from .pieces import cut
 from .util import put, steps
 
 #: Pieces whose counts a worker remembers; beyond that it starts anew, so its memory is bounded.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Bytes of pieces that the library encodes in one call.
 CALL_BYTES = 1 << 18
 
