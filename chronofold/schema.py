@@ -59,14 +59,18 @@ def ops(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
         return {"tag": tag, **{k: None for k in "ludsb"}, **({member: Decimal(x) if member == "u" else x} if member else {})}
 
-    out = []
+    none, out = (None, None), []
     for r in rows:
-        none = (None, None)
-        out.append((
-            r.get("doc", 1), *r["id"], *(r.get("obj") or none), r.get("key"), *(r.get("elem") or none), r.get("insert", False), r.get("action", SET),
-            value(r.get("value")), [{"ctr": c, "actor": a} for c, a in r.get("pred", [])], r.get("mark"), r.get("expand", False), r.get("change"),
-        ))
-    return spark.createDataFrame(out, schema(OPS))
+        obj, elem = r.get("obj") or none, r.get("elem") or none
+        cells = (
+            r.get("doc", 1), *r["id"], *obj, r.get("key"), *elem, r.get("insert", False), r.get("action", SET), value(r.get("value")),
+            [{"ctr": c, "actor": a} for c, a in r.get("pred", [])], r.get("mark"), r.get("expand", False), r.get("change"),
+        )
+        out.append(dict(zip(OP_COLUMNS, cells, strict=True)))
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return spark.createDataFrame(pa.Table.from_pylist(out, schema=to_arrow_schema(schema(OPS))), schema(OPS))
 
 
 def same(a: DataFrame, b: DataFrame, columns) -> Column:
