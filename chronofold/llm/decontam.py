@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .urls import lower
-from .util import let, put
+from .util import fresh, let, put
 
 WINDOW, K = 10, 5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows of the benchmark's fingerprints or windows up to which they are broadcast (8 bytes and about 80 bytes a row); beyond, both sides are
 #: shuffled.
 BROADCAST_ROWS = 200_000
+#: Keys over which the copies of one text are dealt when hits are joined to documents.
+SALTS = 16
 
 
 def words(text: Column) -> Column:
@@ -81,7 +83,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     """
     t = F.col(f"`{text}`")
     found = hits(docs, windows_of(benchmark, item_id, item_text), text)
-    out = put(docs, n_words=F.size(words(t)).cast("long"), digest=F.sha2(F.coalesce(t, F.lit("")), 256))
-    out = out.join(found.select("digest", *[F.col(c).alias(f"found_{c}") for c in ("n_hit", "n_items", "items")]), "digest", "left").drop("digest")
-    n = F.coalesce(F.col("found_n_hit"), F.lit(0).cast("long"))
-    return put(out, n_hit=n, n_items=F.coalesce("found_n_items", F.lit(0).cast("long")), items=F.coalesce("found_items", F.array().cast("array<string>")), contaminated=n > 0).drop("found_n_hit", "found_n_items", "found_items")
+    digest, salt, hit = (fresh(docs, x) for x in ("digest", "salt", "hit"))
+    # a text with very many copies is dealt over SALTS keys
+    out = put(docs, n_words=F.size(words(t)).cast("long"), **{digest: F.sha2(F.coalesce(t, F.lit("")), 256), salt: F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")})
+    found = found.select(F.col("digest").alias(digest), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt), F.struct("n_hit", "n_items", "items").alias(hit))
+    out = out.join(found, [digest, salt], "left")
+    h, none = F.col(hit), F.lit(0).cast("long")
+    return put(out, n_hit=F.coalesce(h["n_hit"], none), n_items=F.coalesce(h["n_items"], none), items=F.coalesce(h["items"], F.array().cast("array<string>")), contaminated=h.isNotNull()).drop(digest, salt, hit)
