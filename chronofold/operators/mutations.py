@@ -19,7 +19,7 @@ from ..functions.ship import ship
 from ..schema import DELETE, INCREMENT, INT, MAKE_LIST, MAKE_MAP, MAKE_TEXT, MARK, OBJ, OPS, SET, STRING, conform, scalar
 from . import maps, sequence
 from .sequence import ELEMENT, SEQ
-from .visibility import visible
+from .visibility import no_marks, visible
 
 PRED = "array<struct<ctr:bigint,actor:binary>>"
 
@@ -90,8 +90,8 @@ def splice(ops: DataFrame, commands: DataFrame) -> DataFrame:
     size = sequence.lengths(found)
     c = commands.join(size, SEQ, "left").where(F.col("pos") + F.col("del") <= F.coalesce("length", F.lit(0))).drop("length")
     own = [*ELEMENT, "idx", F.col("op_ctr").alias("w_ctr"), F.col("op_actor").alias("w_actor")]
-    # every live op of a deleted element is overwritten
-    live = _preds(sequence.element_of(visible(ops)), ELEMENT)
+    # every live op of a deleted element is overwritten, but not the ranges that are anchored to it
+    live = _preds(sequence.element_of(no_marks(visible(ops))), ELEMENT)
     gone = c.join(found.select(*own), SEQ).where((F.col("idx") >= F.col("pos")) & (F.col("idx") < F.col("pos") + F.col("del"))).join(live, ELEMENT)
     gone = gone.select(*SEQ, "actor", F.lit(0).alias("side"), "idx", "elem_ctr", "elem_actor", F.lit(False).alias("insert"), F.lit(DELETE).alias("action"), scalar(0).alias("value"), F.col("held").alias("pred"))
     ref = found.select(*SEQ, F.col("elem_ctr").alias("r_ctr"), F.col("elem_actor").alias("r_actor"), (F.col("idx") + 1).alias("pos"))
@@ -121,7 +121,7 @@ def splice_text(ops: DataFrame, commands: DataFrame) -> DataFrame:
 def set_elements(ops: DataFrame, commands: DataFrame) -> DataFrame:
     """Overwrites the element at ``idx`` with ``value``."""
     found = sequence.elements(ops).select(*ELEMENT, "idx")
-    c = commands.join(found, [*SEQ, "idx"]).join(_preds(sequence.element_of(visible(ops)), ELEMENT), ELEMENT)
+    c = commands.join(found, [*SEQ, "idx"]).join(_preds(sequence.element_of(no_marks(visible(ops))), ELEMENT), ELEMENT)
     c = _numbered(ops, c, "obj_ctr", "obj_actor", "idx")
     return conform(c.withColumn("action", F.lit(SET)).withColumn("pred", F.col("held")))
 

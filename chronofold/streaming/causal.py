@@ -22,10 +22,9 @@ COLUMNS = ["doc_id", "hash", "actor", "seq", "start_op", "max_op", "deps"]
 
 def released(known: dict, waiting: dict, new: list[dict]) -> list[dict]:
     """Takes new changes in; returns those that can go on, dependencies first.  ``known`` numbers hashes in that order."""
-    for c in sorted(new, key=lambda c: (c["max_op"], c["hash"])):
-        if c["hash"] not in known:
-            waiting[c["hash"]] = c
-    needs = {h: {d for d in c["deps"] if d not in known} for h, c in waiting.items()}
+    waiting |= {c["hash"]: c for c in new if c["hash"] not in known}
+    first = sorted(waiting.values(), key=lambda c: (c["max_op"], c["hash"]))
+    needs = {c["hash"]: {d for d in c["deps"] if d not in known} for c in first}
     after: dict = {}
     for h, ds in needs.items():
         for d in ds:
