@@ -11,12 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import bpe, decontam, quality, queries, secrets, simhash
+from chronofold.llm import bpe, decontam, near, quality, queries, secrets
 from chronofold.llm.util import checkpoint_folder
 
-#: Differing bits up to which fingerprints are near-duplicates here.
-NEAR_BITS = 3
-
 
 def _held(docs: DataFrame) -> DataFrame:
     """Id, text and the row as it was, so that no column of an operator can clash with one of the row."""
@@ -30,9 +27,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near-duplicates, once."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), shingle=3, budget=NEAR_BITS)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    """Keeps the document with the least id of each group of near-duplicates (five-word similarity 0.8 or more), once."""
+    kept = near.firsts(docs.select("doc_id", "text")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
@@ -56,7 +52,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality_stage),
-    ("simhash near-dedup", near_dedup_stage),
+    ("near-dedup", near_dedup_stage),
     ("benchmark decontamination", decontamination_stage),
     ("secret scans", secrets_stage),
     ("bpe", bpe_stage),

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from chronofold.llm import chat, decontam, quality, simhash, urls
+from chronofold.llm import chat, decontam, near, quality, simhash, urls
 from chronofold.llm.components import components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -279,3 +279,61 @@ def test_pipeline_stages(spark, tmp_path):
     secret = spark.read.parquet(f"{tmp_path}/3").where("doc_id = 1003").first()
     assert "[secret]" in secret.text and "04db" not in secret.text and secret.n_chars == len(secret.text)
     assert pipeline.run(spark, str(tmp_path)).count() == len(last)
+
+
+def near_copy_rows(rng):
+    """Texts of 40 to 120 made-up words, near copies on both sides of similarity 0.8, a chain of them, and a dense group."""
+    word = lambda: "w" + str(rng.randrange(4000))
+
+    def changed(words, n):
+        words = list(words)
+        for k in rng.sample(range(len(words)), n):
+            words[k] = word()
+        return words
+
+    texts = []
+    for _ in range(30):
+        base = [word() for _ in range(rng.randrange(40, 120))]
+        texts += [base, changed(base, 1), changed(base, 2), base[: len(base) * 9 // 10], base + [word() for _ in range(len(base) // 4)]]
+    chain = [word() for _ in range(80)]
+    for k in range(8):
+        texts.append(chain[k * 4 :] + [word() for _ in range(k * 4)])
+    base = [word() for _ in range(60)]
+    texts += [changed(base, rng.randrange(3)) for _ in range(60)]
+    rows = [" ".join(x) for x in texts] + ["", None, " ", "a b", "A  b", "a b c"]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def brute_near(rows):
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def runs(text):
+        w = lower(text or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [(i, runs(t)) for i, t in rows]
+    for a, x in sets:
+        for b, y in sets:
+            if a < b and 5 * len(x & y) >= 4 * len(x | y):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {i for i in root if find(i) == i}
+
+
+@pytest.mark.parametrize("stars", [0, 2])
+def test_near_copies_of_the_pipeline(spark, monkeypatch, stars):
+    """Without stars every pair of a bucket is compared."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(near, "STARS", stars)
+    rows = near_copy_rows(random.Random(6))
+    want = brute_near(rows)
+    docs = spark.createDataFrame(rows + [(None, rows[0][1])], "doc_id long, text string")
+    got = [r.doc_id for r in pipeline.near_dedup_stage(spark, docs, "").collect()]
+    assert sorted(i for i in got if i is not None) == sorted(want) and got.count(None) == 1
+    assert pipeline.near_dedup_stage(spark, docs.limit(0), "").count() == 0
