@@ -2,7 +2,8 @@
 
 Two passes over blocks.  The first classifies each block by the density of stop words, its length and its share of link text; blocks of
 navigation, headers, footers, sidebars, notices, adverts, forms and comments are known by what holds them.  In the second, short
-blocks, which tell little by themselves, take the class of their nearest decided neighbours.
+blocks, which tell little by themselves, take the class of their nearest decided neighbours.  An article element is one more hint: it leads
+if it holds at least half of the good text, and then undecided blocks in it stay more easily, and those outside need a high density and length.
 """
 
 from __future__ import annotations
@@ -147,22 +148,27 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
 
 def classes(found: list[tuple[str, int, bool, bool, bool]]) -> list[bool]:
     """Whether each block belongs to the main text."""
-    framed = any(article and not bad for _, _, bad, article, _ in found)
     first: list[str] = []
-    for text, linked, bad, article, heading in found:
-        n = len(text)
-        if bad or framed and not article:
+    densities: list[float] = []
+    for text, linked, bad, _, heading in found:
+        n, said = len(text), [w.lower() for w in _LETTERS.findall(text)]
+        density = sum(w in STOP_WORDS for w in said) / len(said) if said else 0
+        densities.append(density)
+        if bad or linked > LINKS * n and not heading:
             first.append("bad")
-        elif linked > LINKS * n and not heading:
-            first.append("bad")
-        elif framed:
-            first.append("good" if n >= SHORT or heading else "short")
         elif n < SHORT:
             first.append("short")
         else:
-            said = [w.lower() for w in _LETTERS.findall(text)]
-            density = sum(w in STOP_WORDS for w in said) / len(said) if said else 0
-            first.append("good" if density >= STOPS_HIGH and n >= LONG or density >= STOPS_LOW else "near" if density > 0 else "bad")
+            first.append("good" if density >= STOPS_LOW else "near" if density > 0 or heading else "none")
+    # an article element leads where it holds at least as much of the text that the words show to be good as the rest of the page
+    held = [sum(len(found[k][0]) for k, c in enumerate(first) if c == "good" and found[k][3] == inside) for inside in (False, True)]
+    framed = any(article and not bad for _, _, bad, article, _ in found) and held[1] >= held[0]
+    for k, (text, _, _, article, _) in enumerate(found):
+        if framed and not article and not (first[k] == "good" and densities[k] >= STOPS_HIGH and len(text) >= LONG):
+            first[k] = "bad"
+        elif first[k] == "none":
+            # without any stop word, the blocks around decide where the element leads
+            first[k] = "near" if framed else "bad"
     decided = [k for k, c in enumerate(first) if c in ("good", "bad")]
     out, j = [], 0
     for k, c in enumerate(first):

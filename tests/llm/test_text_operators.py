@@ -135,6 +135,18 @@ def test_html_without_an_article():
     assert html.extract(page) == "\n".join(["Head", long.strip(), "Short.", long.strip()])
 
 
+def test_html_with_an_article_that_is_not_the_story():
+    """The words of every block count, so a teaser's element does not hide the text, nor does an element keep what is between bad blocks."""
+    long = "This is the text of a page that has no element for its article, and it is long enough for the rules to see that there are words in it which people use. " * 2
+    card = "<article><h3>Card</h3><p>Read on.</p></article>"
+    story = f"<div><p>{long}</p><p>{long}</p></div>"
+    assert html.extract(story + card).startswith("\n".join([long.strip()] * 2)) and html.extract(card + story).endswith("\n".join([long.strip()] * 2))
+    link = "<p><a href=x>" + "Zyx " * 30 + "</a></p>"
+    foot = "Imprint Berlin Phone Fax Email Register Munich Court Number Hamburg Office"
+    page = f"<article><p>{long}</p>{link}<p>{foot}</p>{link}</article><p>Outside text that is in the page.</p><p>{long}</p>"
+    assert html.extract(page) == "\n".join([long.strip()] * 2)
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(i, p, "z") for i, (p, _) in enumerate(PAGES)] + [(99, "<p>" * 20_000 + "x", "z")], "page_id long, html string, N_CHARS string")
     got = {r.page_id: r for r in html.main_text(df).collect()}
