@@ -27,9 +27,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near-duplicates (five-word similarity 0.8 or more), once."""
-    kept = near.firsts(docs.select("doc_id", "text")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Keeps the document with the least id of each group of near-duplicates (five-word similarity 0.8 or more), once.
+
+    Rows of one id are told apart by their texts: those that are no near copies of each other all stay.  Of rows with equal id and text
+    the one whose columns come first stays.
+    """
+    kept = near.firsts(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("id"), "copy")
+    held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), near.copy_of(F.col("text")).alias("copy"), F.struct("*").alias("row"))
+    first = held.join(kept, ["id", "copy"], "left_semi").groupBy("id", "copy").agg(F.min("row").alias("row")).select("row.*")
+    return first.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

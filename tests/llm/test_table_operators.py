@@ -337,3 +337,12 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch, stars):
     got = [r.doc_id for r in pipeline.near_dedup_stage(spark, docs, "").collect()]
     assert sorted(i for i in got if i is not None) == sorted(want) and got.count(None) == 1
     assert pipeline.near_dedup_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_one_id_with_several_texts(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "pq")
+    rows = [(1, one, "en"), (1, two, "en"), (1, one + " more", "de"), (1, two, "de"), (2, one, "en"), (3, None, "en"), (3, None, "de")]
+    got = pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    assert {(r.doc_id, r.text) for r in got} in ({(1, t), (1, two), (3, None)} for t in (one, one + " more"))
+    assert len(got) == 3 and {r.lang for r in got if r.text in (two, None)} == {"de"}
