@@ -13,6 +13,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +31,14 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _SIGN = re.compile(r"[dtnyDTNY][\"']?\x20*[:=]")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z0-9 ]*)-----([^-]*)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z0-9 ]*)-----((?:[^-]++|-(?!----))*+)-----END \1-----")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _B64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+_B64URL = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{40,}={0,2}")
+#: Lines of base64 of either alphabet, where a DER sequence or an SSH blob can begin.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|AAAA|b3Bl)[A-Za-z0-9+/_-]{15,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?=[0-9a-f]*[A-F])[0-9A-Fa-f]{24,}")
+_PLAIN = str.maketrans("-_", "+/")
 _TAGS = {0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x0C, 0x13, 0x16, 0x17, 0x18, 0x30, 0x31, 0xA0, 0xA1, 0xA2, 0xA3}
 
 
@@ -128,7 +134,8 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
             lines = [x for x in m[2].split("\n") if ":" not in x]
-            if (b := decoded("".join(lines))) and (is_der(b) or is_ssh(b)):
+            # what an encrypted body holds has no structure
+            if (b := decoded("".join(lines))) and (is_der(b) or is_ssh(b) or "4,ENCRYPTED" in m[2]):
                 add("pem", m)
     if "eyJ" in text:
         for m in _JWT.finditer(text):
@@ -140,7 +147,31 @@ def scan(text: str) -> list[tuple[int, int, str]]:
                 add("ssh", m)
             elif is_der(b):
                 add("der", m)
-    return sorted(out)
+    for m in _HEX_ANY.finditer(text):
+        if len(m[0]) % 2 == 0 and is_der(bytes.fromhex(m[0])):
+            add("der", m)
+    for m in _B64URL.finditer(text):
+        if kind := structure(m[0]):
+            add(kind, m)
+    for m in _WRAPPED.finditer(text):
+        ends = [m.start() + x.end() for x in re.finditer(r"[^\s]+", m[0])]
+        if m[0][0] == "M":
+            # the sequence's own length tells where it ends
+            size = _length(decoded(text[m.start() : m.start() + 8].translate(_PLAIN)) or b"", 1)
+            chars = -(-8 * (size[0] + size[1]) // 6) if size else 0
+            counts = accumulate(len(x.rstrip("=")) for x in m[0].split())
+            ends = [ends[0], *(e for e, n in zip(ends, counts, strict=True) if n == chars)]
+        for end in reversed(ends[1:][-2:]):
+            if kind := structure(text[m.start() : end]):
+                out.append((m.start(), KINDS.index(kind), end))
+                break
+    return sorted(set(out))
+
+
+def structure(text: str) -> str | None:
+    """The structural kind that base64 of either alphabet decodes to."""
+    b = decoded(text.translate(_PLAIN))
+    return None if not b else "ssh" if is_ssh(b) else "der" if is_der(b) else None
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

@@ -116,6 +116,23 @@ def test_secrets(spark):
     assert kinds == [{"pem", "der"}, {"jwt"}, set(), set(), {"ssh"}, {"hex", "der"}, set(), {"hex"}]
 
 
+def test_secrets_in_other_forms():
+    def kinds(text):
+        return {(secrets.KINDS[k], text[a:b]) for a, k, b in secrets.scan(text) if k >= len(secrets.BASE)}
+
+    upper, mixed = DER.hex().upper(), DER.hex().replace("e", "E")
+    assert kinds(f"x {upper} y") == {("der", upper)} and kinds(f"x {mixed} y") == {("der", mixed)}
+    der = DER[:-1] + b"\xff"
+    der = der[:-4] + b"\xfb\xff\xfe\xff"
+    url = base64.urlsafe_b64encode(der).decode()
+    assert ("_" in url or "-" in url) and kinds(f"x {url} y") == {("der", url)}
+    plain = base64.b64encode(DER).decode()
+    wrapped = "\n".join(plain[i : i + 24] for i in range(0, len(plain), 24))
+    assert kinds(f"x {wrapped}\nword") == {("der", wrapped)}
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{base64.b64encode(bytes(48)).decode()}\n-----END RSA PRIVATE KEY-----"
+    assert ("pem", pem) in kinds(f"x {pem} y")
+
+
 PAGES = [
     (None, ""), ("", ""), ("<p>", ""), ("<article><h1>T</h1><p>a &amp; b<br>c  d</p><p>e <b>f</b>g</p></article><footer>x</footer>", "T\na & b c d\ne fg"),
     ('<nav><a href="/">n</a></nav><div class="ad">buy</div><article><p>One.<p>Two <script>x("</p>")</script>three</article>', "One.\nTwo three"),
