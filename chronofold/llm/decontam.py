@@ -14,13 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .urls import lower
-from .util import fresh, let, put
+from .util import fresh, let, put, small
 
 WINDOW, K = 10, 5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of the benchmark's fingerprints or windows up to which they are broadcast (8 bytes and about 80 bytes a row); beyond, both sides are
-#: shuffled.
-BROADCAST_ROWS = 200_000
 #: Keys over which the copies of one text are dealt when hits are joined to documents.
 SALTS = 16
 
@@ -44,11 +41,6 @@ def winnowed(h: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - F.lit(n - 1)), lambda i: F.array_min(F.slice(h, i, n))))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if its rows are counted and few."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def windows_of(items: DataFrame, item_id: str, text: str) -> DataFrame:
     """The distinct windows of the benchmark: its words (gram), their number and the items that hold it."""
     w = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), words(F.col(f"`{text}`")).alias("w")).where(F.size("w") > 0)

@@ -1,15 +1,23 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more (the pipeline's stage).
+"""Near copies by similarity (operator 7, with confirmation): texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-MinHash proposes and the shingles themselves decide.  A text's BANDS keys of ROWS minima each put it into buckets; a pair of similarity s
-shares none of them with probability (1 - s ** ROWS) ** BANDS, which is 5e-6 at 0.8.  In a bucket, texts are first compared with one of them
-(a pivot), STARS times with other pivots; after that every pair whose ends are still in different components is compared.  So a dense group
-costs about as many comparisons as it has members, and no proposed pair is left out unless its ends are joined already.
+SimHash proposes and the shingles themselves decide.  A similarity of 0.8 lets about 16 of 100 fingerprint bits differ, far more than a trie
+over 64 bits can be pruned by, so fingerprints are 256 bits wide and enter tries by many tables: a table takes some bits of the
+fingerprint, and those that agree on them are one trie.  Its self-join keeps the pairs within a budget of differing bits (``simhash.trie_links``
+over the first 64 bits, a count over the next 64).  The number of bits of a table follows from the number of fingerprints, so that a trie
+of unlike texts holds about CROWD of them at any size, and the number of tables from the bits, so that a pair at 0.8 meets in none of
+them with probability MISS.
+
+Texts with equal fingerprints are one node.  The first FIRST tables propose links without regard to each other; after these are confirmed, all
+tables propose only pairs whose ends are in different components, so that a dense group costs as many comparisons as it has members.  A
+trie with very many pairs proposes each member's nearest ones first and all that is left once those are confirmed; no pair within the budget
+is left out unless its ends are joined already.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +26,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
+from . import simhash
 from .components import components
-from .util import shared, steps
+from .util import shared, small, steps
 
-SHINGLE, BANDS, ROWS, STARS = 5, 40, 6, 2
+SHINGLE = 5
 #: Similarity of near copies as a fraction.
 OVER, UNDER = 4, 5
-#: Shingles whose minima are taken at once.
-CHUNK = 1 << 7
+#: 64-bit words of a fingerprint, and how many of them go with a row to its tries.
+WORDS, CARRIED = 4, 2
+#: Differing bits of the first 64 and of the first 128 bits of a pair, at most: 2.8 standard deviations above what short texts at 0.8 have.
+NEAR_64, NEAR_128 = 20, 36
+#: The share of differing bits that tables are made for, and how often they may miss a pair that has it.
+DIFFER, MISS = 0.16, 0.001
+#: Unlike texts of one trie, and the least number of bits by which it is entered.
+CROWD, LEAST_BITS = 64, 4
+#: Tables of the first pass; pairs a member for which all pairs of a trie are proposed at once.
+FIRST, MANY = 4, 4
+#: Members of a trie's part; rows that a task walks, and pairs that it may have, at once; members from which joined ones are set apart.
+LEAF, WALK, PAIRS, CROWDED = 1024, 1 << 14, 1 << 21, 128
 
-_random = np.random.default_rng(42)
-_FACTORS = _random.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDED = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+NODE = ["node", "root", *(f"w{i}" for i in range(CARRIED))]
 
 
 def shingles(text: str) -> frozenset[bytes]:
@@ -47,16 +65,35 @@ def similar(a: frozenset[bytes], b: frozenset[bytes]) -> bool:
     return UNDER * both >= OVER * (len(a) + len(b) - both)
 
 
-def bands(text: str) -> np.ndarray:
-    """The text's bucket keys, one a band, as signed longs."""
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles(text)), np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(hashes), CHUNK):
-        x = hashes[k : k + CHUNK, None] * _FACTORS
-        x += _ADDED
-        np.minimum(least, x.min(0), out=least)
-    raw = least.reshape(BANDS, ROWS).tobytes()
-    return np.array([xxhash.xxh64_intdigest(raw[8 * ROWS * k : 8 * ROWS * (k + 1)]) for k in range(BANDS)], np.uint64).view(np.int64)
+def wide_prints(texts: list[str]) -> np.ndarray:
+    """Fingerprints of the sets of shingles: a row of WORDS words a text, whose bits are set in over half of the hashes."""
+    out = np.zeros((len(texts), WORDS), np.uint64)
+    held: list[np.ndarray] = []
+    rows: list[int] = []
+
+    def close() -> None:
+        sizes = np.array([len(h) for h in held])
+        starts, hashes = np.cumsum(sizes) - sizes, np.concatenate(held)
+        for j in range(WORDS):
+            if j:
+                # other bits of the same shingles: a mixing step for each word
+                hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(_ODD[j - 1])
+                hashes ^= hashes >> np.uint64(32)
+            counts = simhash.bit_counts(hashes, starts)
+            out[rows, j] = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        held.clear(), rows.clear()
+
+    size = 0
+    for k, text in enumerate(texts):
+        held.append(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text)), np.uint64))
+        rows.append(k)
+        size += len(held[-1])
+        if size > simhash.SHINGLES:
+            close()
+            size = 0
+    if rows:
+        close()
+    return out
 
 
 def copy_of(text):
@@ -64,15 +101,148 @@ def copy_of(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _with_bands(texts: DataFrame) -> DataFrame:
-    @F.arrow_udf("array<long>")
+def _with_prints(texts: DataFrame) -> DataFrame:
+    @F.arrow_udf("struct<" + ",".join(f"w{i}:bigint" for i in range(WORDS)) + ">")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            got = [bands(t) for texts in steps(batch) for t in texts]
-            flat = np.concatenate([np.empty(0, np.int64), *got])
-            yield pa.ListArray.from_arrays(np.arange(len(got) + 1, dtype=np.int32) * BANDS, flat)
+            got = np.concatenate([np.empty((0, WORDS), np.uint64), *(wide_prints(x) for x in steps(batch))]).view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(got[:, i]) for i in range(WORDS)], [f"w{i}" for i in range(WORDS)])
+
+    return texts.withColumn("w", run("text")).drop("text")
+
+
+def plan(nodes: int) -> tuple[int, int]:
+    """Bits of a table, and tables, for so many fingerprints."""
+    bits = max(LEAST_BITS, ceil(log2(max(nodes, 1) / CROWD)))
+    return bits, ceil(log(MISS) / log(1 - (1 - DIFFER) ** bits))
+
+
+def table_keys(words: np.ndarray, bits: int, tables: range) -> np.ndarray:
+    """The keys (a row a fingerprint, a column a table) under which fingerprints enter tries."""
+    loose = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+    weight = (1 << np.arange(bits)).astype(np.float32 if bits <= 24 else np.float64)
+    # each table's bits are drawn by its own number, so that a table is the same however many there are
+    return np.stack([(loose[:, np.random.default_rng(t).permutation(64 * WORDS)[:bits]] @ weight).astype(np.int64) + (t << bits) for t in tables], 1)
+
+
+def _deal(bits: int, tables: range):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 4096):
+                some = batch.slice(k, 4096)
+                words = np.stack([some.column(f"w{i}").to_numpy(zero_copy_only=False) for i in range(WORDS)], 1)
+                each = np.repeat(np.arange(len(some)), len(tables))
+                cells = [some.column(c).to_numpy(zero_copy_only=False)[each] for c in NODE]
+                yield pa.RecordBatch.from_arrays([pa.array(table_keys(words, bits, tables).ravel()), *map(pa.array, cells)], ["key", *NODE])
+
+    return run
+
 
-    return texts.withColumn("bands", run("text"))
+def _nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Of the pairs, which are the nearest one of an end."""
+    keep = np.zeros(len(a), bool)
+    for end in (a, b):
+        order = np.lexsort((far, end))
+        keep[order[np.flatnonzero(np.append(True, end[order][1:] != end[order][:-1]))]] = True
+    return keep
+
+
+def _across(w0: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places of pairs between two sides whose first words are near."""
+    step = max(1, PAIRS // max(1, len(b)))
+    for k in range(0, len(a), step):
+        i, j = np.nonzero(np.bitwise_count(w0[a[k : k + step], None] ^ w0[b]) <= NEAR_64)
+        yield a[k + i], b[j]
+
+
+def _walk(every: bool):
+    """Pairs (u, v) to confirm, of whole tries; (key, null) for a trie that has more of them, unless ``every`` one is wanted."""
+
+    def walk(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, low, high, node, root, w0, w1 = (t[c].to_numpy() for c in ("key", "low", "high", *NODE))
+        w0, w1 = w0.view(np.uint64), w1.view(np.uint64)
+        order = np.lexsort((w0, high, low, key))
+        key, low, high, node, root, w0, w1 = (x[order] for x in (key, low, high, node, root, w0, w1))
+        new = np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in (key, low, high)])) if len(key) else np.empty(0, bool)
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(key)))
+        # tries of one component have nothing to say; the others are walked so many at a time that their pairs fit in memory
+        lows, highs = np.minimum.reduceat(root, starts), np.maximum.reduceat(root, starts)
+        some = np.flatnonzero(lows < highs)
+        cost = np.cumsum(sizes[some] ** 2) // PAIRS
+        for part in np.split(some, np.flatnonzero(np.diff(cost)) + 1) if len(some) else ():
+            at, of, found = [], [], []
+            for k, g in enumerate(part.tolist()):
+                own = np.arange(starts[g], starts[g] + sizes[g])
+                if len(own) > CROWDED:
+                    values, counts = np.unique(root[own], return_counts=True)
+                    if 2 * counts.max() > len(own):
+                        # most are joined already: the rest is compared with them, and joins the walk without them
+                        joined = root[own] == values[counts.argmax()]
+                        found += [(a, b, np.full(len(a), k)) for a, b in _across(w0, own[~joined], own[joined])]
+                        own = own[~joined]
+                at.append(own)
+                of.append(np.full(len(own), k))
+            at, of = np.concatenate(at), np.concatenate(of)
+            a, b = simhash.trie_links(w0[at], of, NEAR_64, few=64)
+            a, b, own = (np.concatenate(x) for x in zip((at[a], at[b], of[a]), *found, strict=True))
+            far = np.bitwise_count(w0[a] ^ w0[b]).astype(np.int16) + np.bitwise_count(w1[a] ^ w1[b])
+            keep = (far <= NEAR_128) & (root[a] != root[b])
+            a, b, far, own = a[keep], b[keep], far[keep], own[keep]
+            more = np.bincount(own, minlength=len(part)) > MANY * sizes[part]
+            if not every and more.any():
+                keep = ~more[own] | _nearest(a, b, far)
+                a, b = a[keep], b[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(key[starts[part[more]]]), pa.nulls(int(more.sum()), pa.int64())], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows < WALK:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            ends = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in (whole.column(c).to_numpy() for c in ("key", "low", "high"))]))
+            if len(ends):
+                cut = int(ends[-1]) + 1
+                yield from walk(pa.Table.from_batches([whole.slice(0, cut)]))
+                held = [whole.slice(cut)]
+                rows = len(held[0])
+        if rows:
+            yield from walk(pa.Table.from_batches(held))
+
+    return run
+
+
+def proposed(nodes: DataFrame, bits: int, tables: range, *, only: DataFrame | None = None, apart: bool = False, every: bool = False) -> DataFrame:
+    """Pairs (u, v) of nodes (node, root, w0...) of different roots that some table lets meet within the budget.
+
+    ``only`` (key) names the tries to walk.  A trie of over LEAF members is cut by hash.  Where all but LEAF of them have one root, these are
+    dealt out and the others meet each part; else each pair of parts is walked, or, if ``apart``, each part on its own.  Rows (key, null)
+    name tries that have more pairs than have been proposed.
+    """
+    dealt = nodes.select(*NODE, *[f"w{i}" for i in range(CARRIED, WORDS)]).mapInArrow(_deal(bits, tables), "key long, " + ", ".join(f"{c} long" for c in NODE))
+    if only is not None:
+        dealt = dealt.join(small(only), "key", "left_semi")
+    of = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    large = small(shared(of.where((F.col("n") > LEAF) & (F.col("least") < F.col("most"))).select("key", "n", F.ceil(F.col("n") / F.lit(LEAF)).cast("int").alias("parts"))))
+    if apart:
+        large = large.select("key", "parts", F.lit(None).cast("long").alias("top"))
+    else:
+        by_root = dealt.join(large, "key").groupBy("key", "n", "parts", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key", "n", "parts").agg(F.max(F.struct("m", "root")).alias("t"))
+        large = small(shared(by_root.select("key", "parts", F.when(F.col("n") - F.col("t.m") <= LEAF, F.col("t.root")).alias("top"))))
+    dealt = dealt.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")
+    each = F.sequence(F.lit(0), F.col("parts") - 1)
+    alone = F.array(F.struct(own.alias("low"), own.alias("high")))
+    all_parts = F.transform(each, lambda j: F.struct(j.alias("low"), j.alias("high")))
+    pairs = F.transform(each, lambda j: F.struct(F.least(own, j).alias("low"), F.greatest(own, j).alias("high")))
+    to = F.when(F.lit(apart) | (F.col("parts") == 1) | (F.col("root") == F.col("top")), alone).when(F.col("top").isNotNull(), all_parts).otherwise(pairs)
+    dealt = dealt.select("key", *NODE, F.explode(to).alias("p")).select("key", "p.low", "p.high", *NODE)
+    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.mapInArrow(_walk(every), "u long, v long")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,41 +259,36 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def firsts(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, copy) for each group of near copies: its least id and the ``copy_of`` the text that stands there.
+    """(id, copy, n) for each group of near copies: its least id, the ``copy_of`` the text that stands there, and how many rows have both.
 
     Groups are the components of all pairs of near copies; rows without an id are in none.
     """
     ship(df.sparkSession)
     named = df.where(F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = shared(_with_bands(named).select("id", copy_of(F.col("text")).alias("node"), "bands"))
-    nodes = shared(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
-    members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = shared(members.groupBy("band", "key").count().where("count > 1").select("band", "key"))
-    members = shared(members.join(buckets, ["band", "key"]))
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "id")
-    # one row holds the text of a node: that of the least id
-    texts = shared(named.select("id", copy_of(F.col("text")).alias("node"), "text").join(wanted, ["node", "id"]).groupBy("node").agg(F.first("text").alias("text")))
-    edges = tried = roots = None
-    for turn in range(STARS + 1):
-        labelled = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        labelled = shared(labelled)
-        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), F.col("node").alias("pivot"), F.col("root").alias("of"))).alias("p")
-        mixed = shared(labelled.groupBy("band", "key").agg(pivot, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key", "p.pivot", "p.of"))
-        if mixed.isEmpty():
-            break
-        if turn < STARS:
-            pairs = labelled.join(mixed, ["band", "key"]).where("root <> of").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
-        else:
-            left = labelled.join(mixed.select("band", "key"), ["band", "key"])
-            right = left.select("band", "key", F.col("node").alias("other"), F.col("root").alias("of"))
-            pairs = left.join(right, ["band", "key"]).where("root < of").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
-        pairs = pairs.distinct()
+    words = [f"w{i}" for i in range(WORDS)]
+    rows = shared(_with_prints(named.select("id", copy_of(F.col("text")).alias("copy"), "text")).select("id", "copy", "w.*"))
+    same = rows.groupBy(*words, "id", "copy").agg(F.count(F.lit(1)).alias("n"))
+    nodes = shared(same.groupBy(*words).agg(F.min(F.struct("id", "copy", "n")).alias("first")).select(F.col("first.copy").alias("node"), "first", *words))
+    bits, tables = plan(nodes.count())
+    told = named.withColumn("copy", copy_of(F.col("text")))
+    edges = tried = roots = only = None
+    for turn in range(4):
+        every = turn == 3
+        own = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = shared(proposed(own, bits, range(min(FIRST, tables) if turn == 0 else tables), only=only, apart=turn == 0, every=every))
+        pairs = found.where("v is not null").distinct()
         pairs = shared(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = shared(confirmed(pairs, texts))
-        edges = found if edges is None else edges.unionByName(found)
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        wanted = shared(nodes.join(ends, "node").select(F.col("node").alias("copy"), F.col("first.id").alias("id")))
+        # one row holds the text of a node: that of its least id
+        texts = told.join(small(wanted), ["copy", "id"], "left_semi").groupBy(F.col("copy").alias("node")).agg(F.first("text").alias("text"))
+        new = shared(confirmed(pairs, texts))
+        edges = new if edges is None else edges.unionByName(new)
         roots = components(edges).select("node", "root")
-    if roots is None:
-        roots = nodes.select("node", F.col("node").alias("root")).limit(0)
-    grouped = nodes.select("node", "id").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-    return grouped.agg(F.min(F.struct("id", "node")).alias("first")).select(F.col("first.id").alias(id), F.col("first.node").alias("copy"))
+        if turn:
+            only = found.where("v is null").select(F.col("u").alias("key")).distinct()
+            if every or only.isEmpty():
+                break
+    grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+    return grouped.agg(F.min("first").alias("first")).select(F.col("first.id").alias(id), "first.copy", "first.n")

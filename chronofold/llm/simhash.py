@@ -92,10 +92,11 @@ def with_fingerprints(df: DataFrame, *, text: str = "text", out: str = "fp", shi
     return put(df, **{out: run(F.col(f"`{text}`"))})
 
 
-def trie_links(x: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(x: np.ndarray, group: np.ndarray, budget: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
     """Places (a, b) of all pairs of one group whose numbers differ in at most ``budget`` bits.
 
-    ``x`` (unsigned) is sorted within each group, and has no number twice there; ``group`` is sorted.
+    ``x`` (unsigned) is sorted within each group; ``group`` is sorted.  Pairs of nodes with at most ``few`` pairs of numbers are compared one
+    by one, and so are those that are left at the bottom, whose numbers are equal on each side.
     """
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     stops = np.append(starts[1:], len(x))
@@ -103,18 +104,20 @@ def trie_links(x: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarra
     a, b = np.stack([starts[some], stops[some]]), np.stack([starts[some], stops[some]])
     bits = np.zeros(a.shape[1], np.int64)
     found = [np.empty((2, 0), np.int64)]
-    for depth in range(64):
+    for depth in range(65):
         if not a.shape[1]:
             break
-        few = ((a[1] - a[0]) * (b[1] - b[0]) <= FEW) | ((a[0] == b[0]) & (a[1] - a[0] <= 3))
-        if few.any():
-            na, nb = (a[1] - a[0])[few], (b[1] - b[0])[few]
+        done = ((a[1] - a[0]) * (b[1] - b[0]) <= few) | ((a[0] == b[0]) & (a[1] - a[0] <= 3)) | (depth == 64)
+        if done.any():
+            na, nb = (a[1] - a[0])[done], (b[1] - b[0])[done]
             each = np.repeat(np.arange(len(na)), na * nb)
             k = np.arange(len(each)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
-            i, j = a[0][few][each] + k // nb[each], b[0][few][each] + k % nb[each]
+            i, j = a[0][done][each] + k // nb[each], b[0][done][each] + k % nb[each]
             near = (i < j) & (np.bitwise_count(x[i] ^ x[j]) <= budget)
             found.append(np.stack([i[near], j[near]]))
-            a, b, bits = a[:, ~few], b[:, ~few], bits[~few]
+            a, b, bits = a[:, ~done], b[:, ~done], bits[~done]
+            if not a.shape[1]:
+                break
         ones = np.concatenate([[0], np.cumsum((x >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)])
         ma, mb = (r[1] - (ones[r[1]] - ones[r[0]]) for r in (a, b))
         zero_a, one_a, zero_b, one_b = np.stack([a[0], ma]), np.stack([ma, a[1]]), np.stack([b[0], mb]), np.stack([mb, b[1]])

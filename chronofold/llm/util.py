@@ -49,6 +49,15 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of ids, keys or hashes up to which a counted table is broadcast (some ten to a hundred bytes a row).
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` to be broadcast if its rows are counted and few."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

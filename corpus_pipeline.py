@@ -32,9 +32,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows of one id are told apart by their texts: those that are no near copies of each other all stay.  Of rows with equal id and text
     the one whose columns come first stays.
     """
-    kept = near.firsts(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("id"), "copy")
+    kept = near.firsts(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("id"), "copy", F.col("n").alias("times"))
     held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), near.copy_of(F.col("text")).alias("copy"), F.struct("*").alias("row"))
-    first = held.join(kept, ["id", "copy"], "left_semi").groupBy("id", "copy").agg(F.min("row").alias("row")).select("row.*")
+    held = held.join(kept, ["id", "copy"])
+    # only rows that share id and text with others have to meet
+    first = held.where("times = 1").select("row").unionByName(held.where("times > 1").groupBy("id", "copy").agg(F.min("row").alias("row")).select("row")).select("row.*")
     return first.unionByName(docs.where("doc_id is null"))
 
 

@@ -146,6 +146,7 @@ def test_trie(budget):
     rng = random.Random(budget)
     base = [rng.getrandbits(64) for _ in range(6)]
     x = np.array(sorted({rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for _ in range(500)}), np.uint64)
+    x = np.sort(np.append(x, [x[3]] * 6))
     a, b = simhash.trie_links(x, np.zeros(len(x), int), budget)
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if bin(int(x[i]) ^ int(x[j])).count("1") <= budget}
 
@@ -326,11 +327,24 @@ def brute_near(rows):
     return {i for i in root if find(i) == i}
 
 
-@pytest.mark.parametrize("stars", [0, 2])
-def test_near_copies_of_the_pipeline(spark, monkeypatch, stars):
-    """Without stars every pair of a bucket is compared."""
+def test_wide_prints():
+    texts = ["", "a", "A b  c", " ".join(f"w{i % 50}" for i in range(300))] + [" ".join(f"w{i * k % 97}" for i in range(5 * k)) for k in range(30)]
+    found = near.wide_prints(texts)
+    for k, text in enumerate(texts):
+        hashes = [xxhash.xxh64_intdigest(s) for s in near.shingles(text)]
+        assert int(found[k, 0]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert (near.wide_prints(texts[5:6]) == found[5]).all()
+    bits, tables = near.plan(100_000)
+    keys = near.table_keys(found.view(np.int64), bits, range(tables))
+    assert keys.shape == (len(texts), tables) and (keys >> bits == np.arange(tables)).all() and (near.table_keys(found.view(np.int64), bits, range(2)) == keys[:, :2]).all()
+
+
+@pytest.mark.parametrize("settings", [{}, {"LEAF": 16, "CROWDED": 4, "MANY": 1, "LEAST_BITS": 1}])
+def test_near_copies_of_the_pipeline(spark, monkeypatch, settings):
+    """Small parts make every trie be cut, and dense groups be walked more than once."""
     pipeline = pytest.importorskip("corpus_pipeline")
-    monkeypatch.setattr(near, "STARS", stars)
+    for k, v in settings.items():
+        monkeypatch.setattr(near, k, v)
     rows = near_copy_rows(random.Random(6))
     want = brute_near(rows)
     docs = spark.createDataFrame(rows + [(None, rows[0][1])], "doc_id long, text string")
