@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import shared
+from .util import join_hot, shared
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,15 +20,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = shared(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)
-    while True:
+    while state[0]:
         # large star: each larger neighbour of a node points at the least neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = edges.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
+        least = shared(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = shared(join_hot(edges.select(F.col("v").alias("u"), F.col("u").alias("w")), least, "u", "n", 2 * state[0]).select(F.col("w").alias("u"), F.col("m").alias("v")).distinct())
         # small star: a node and its smaller neighbours point at the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = shared(moved.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        least = shared(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        moved = join_hot(large, least, "u", "n", state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = shared(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         if (now := _state(edges)) == state:
             break
         state = now

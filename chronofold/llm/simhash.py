@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ship import ship
 from .components import components
-from .util import put, shared, steps
+from .util import join_hot, put, shared, small, steps
 
 BUDGET, LEAF = 2, 4096
 #: Rows that a task walks at once, and shingles whose hashes it holds at once.
@@ -190,8 +190,9 @@ def links(prints: DataFrame, *, budget: int = BUDGET, leaf: int = LEAF) -> DataF
     cuts = [64 * i // (budget + 1) for i in range(budget + 2)]
     blocks = [F.struct(F.lit(i).alias("block"), (F.shiftrightunsigned("fp", 64 - hi) if hi < 64 else F.col("fp")).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 63 else -1)).alias("bits")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
     dealt = prints.where("node is not null").select("fp", "node", F.explode(F.array(*blocks)).alias("b")).select("fp", "node", "b.block", "b.bits")
-    large = dealt.groupBy("block", "bits").count().where(F.col("count") > leaf).select("block", "bits", F.ceil(F.col("count") / F.lit(leaf)).cast("int").alias("parts"))
-    dealt = dealt.join(large, ["block", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # large tries are counted and few, so that finding their rows is no shuffle by the crowded keys themselves
+    large = shared(dealt.groupBy("block", "bits").count().where(F.col("count") > leaf).select("block", "bits", F.ceil(F.col("count") / F.lit(leaf)).cast("int").alias("parts")))
+    dealt = dealt.join(small(large), ["block", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("low"), F.greatest(own, j).alias("high")))
     dealt = dealt.select("bits", "block", "fp", "node", F.explode(pairs).alias("p")).select("bits", "block", "p.low", "p.high", "fp", "node")
@@ -207,7 +208,8 @@ def near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", sh
     where there is none (component_id null).
     """
     rows = shared(with_fingerprints(df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")), shingle=shingle).select("id", "fp"))
-    prints = rows.groupBy("fp").agg(F.min("id").alias("node"))
-    found = components(links(prints, budget=budget))
-    prints = prints.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(prints, "fp").select(F.col("id").alias(id), "fp", "component_id")
+    prints = shared(rows.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")))
+    found = components(links(prints.drop("n"), budget=budget))
+    prints = shared(prints.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"), "n"))
+    # one fingerprint may have a large part of all rows: every copy of a text, or every text without words
+    return join_hot(rows, prints, "fp", "n", rows.count()).select(F.col("id").alias(id), "fp", "component_id")

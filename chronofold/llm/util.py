@@ -36,10 +36,14 @@ def steps(array: pa.Array, most: int = STEP_BYTES) -> Iterator[list[str]]:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of this machine is made up only where none is named, as in tests."""
+    """The shared folder that the cluster names.  One of this machine is made up only for a local master, whose tasks see it; elsewhere
+    an unset spark.checkpoint.dir is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
 
 
@@ -58,6 +62,22 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Keys that ``join_hot`` takes for hot, for each row of the other side that stands for a key.
+HOT_KEYS, HOT_ROWS = 4096, 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """The inner join of ``left`` with ``right``, which has a row a key and in ``n`` how many rows of ``left``, of ``total``, have it.
+
+    Keys of over ``total`` / HOT_KEYS rows, of which there are HOT_KEYS at most, are broadcast, so that a key with a large part of all
+    rows isn't one task's; the rest is shuffled.  ``n`` is dropped; ``right`` should be cheap to read twice.
+    """
+    hot = right.where(F.col(n) > max(HOT_ROWS, total // HOT_KEYS)).drop(n)
+    cold = right.where(F.col(n) <= max(HOT_ROWS, total // HOT_KEYS)).drop(n)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
