@@ -1,8 +1,9 @@
 """Media columns (operator 9): payloads stored as lossless WebP and read back for features.
 
 A payload is laid out as rows of WIDTH grey samples; a picture holds at most MAX_SIDE rows, and larger payloads become several
-pictures, one file after the other.  ``webp`` decodes the whole format: prefix codes, back-references and colour cache, and the
-predictor, cross-colour, subtract-green and palette transforms.
+pictures, one file after the other.  Payloads are stored with subtract-green and with what makes them smaller: back-references where long
+stretches repeat, a palette with several samples a pixel where there are few values, the predictor where differences say less than
+samples.  ``webp`` decodes the whole format; cross-colour and colour cache, which tell nothing of grey samples, occur in other pictures only.
 """
 
 from __future__ import annotations

@@ -58,6 +58,8 @@ class Code:
         self.symbol, self.length = np.empty(1 << self.bits, np.int32), np.empty(1 << self.bits, np.int32)
         self.symbol[place], self.length[place] = np.repeat(order, times), np.repeat(lengths[order], times)
         self.mask = (1 << self.bits) - 1
+        #: By the next bits, how far the next symbol is if this one is a literal.
+        self.step = np.where(self.symbol < LITERALS, self.length, 0)
 
 
 class Bits:
@@ -126,41 +128,73 @@ def amount(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
-def literal_run(bits: Bits, code: Code, n: int, chunk: int = 1 << 20) -> np.ndarray:
-    """``n`` symbols of one code in a row.  Each bit is taken as a possible start; the true starts are then followed eight at a time."""
-    out, done = np.empty(n, np.int32), 0
+def reference(bits: Bits, symbol: int, distance: Code, width: int) -> tuple[int, int]:
+    """The length and the distance, in pixels, of a back-reference whose length symbol has been read."""
+    length, d = amount(bits, symbol - LITERALS), amount(bits, bits.symbol(distance))
+    if d > len(NEAR):
+        return length, d - len(NEAR)
+    x, y = NEAR[d - 1]
+    return length, max(1, x + y * width)
+
+
+def green_runs(bits: Bits, code: Code, distance: Code, n: int, width: int, chunk: int = 1 << 20) -> np.ndarray:
+    """``n`` green samples where no other channel takes bits: runs of literals, and back-references between them.
+
+    Each bit of a chunk is taken as a possible start; a literal's start leads to the next one, any other symbol's to itself.  Runs
+    are then followed eight literals at a time.
+    """
+    if code.single is not None:
+        if code.single >= LITERALS:
+            raise ValueError("reference out of range")
+        return np.full(n, code.single, np.uint8)
+    out, done = np.empty(n, np.uint8), 0
     raw = np.frombuffer(bits.data, np.uint8)
     while done < n:
         first = bits.at >> 3
-        some = raw[first : first + chunk // 8 + 2].astype(np.int32)
+        some = raw[first : first + min(chunk, 15 * (n - done) + 64) // 8 + 2].astype(np.int32)
         if len(some) < 4:
             raise ValueError("truncated stream")
         wide = some[:-2] | some[1:-1] << 8 | some[2:] << 16
         window = ((wide[:, None] >> np.arange(8, dtype=np.int32)) & np.int32(code.mask)).ravel()
         size = len(window)
         step = np.arange(size + 1, dtype=np.int32)
-        step[:-1] += code.length[window]
+        step[:-1] += code.step[window]
         np.minimum(step, size, out=step)
         two = step[step]
         four = two[two]
         eight = memoryview(four[four])
-        at, starts = bits.at & 7, []
-        for _ in range(-(-(n - done) // 8)):
-            if at >= size:
+        at = bits.at & 7
+        while done < n and at < size:
+            starts, most = [at], -(-(n - done) // 8)
+            while len(starts) < most and (then := eight[at]) != at:
+                starts.append(then)
+                at = then
+            s = np.array(starts)
+            s = np.stack([s, four[s]], 1).ravel()
+            s = np.stack([s, two[s]], 1).ravel()
+            s = np.stack([s, step[s]], 1).ravel()[: n - done]
+            end = int(step[s[-1]])
+            if end == s[-1]:
+                # the run stands still at what is no literal, or at the chunk's end
+                s = s[: np.searchsorted(s, end)]
+            out[done : done + len(s)] = code.symbol[window[s]]
+            done += len(s)
+            at = end
+            if at >= size or done == n:
+                if not len(s):
+                    raise ValueError("truncated stream")
+                bits.at = 8 * first + int(s[-1]) + int(code.length[window[s[-1]]])
                 break
-            starts.append(at)
-            at = eight[at]
-        s = np.array(starts)
-        s = np.stack([s, four[s]], 1).ravel()
-        s = np.stack([s, two[s]], 1).ravel()
-        s = np.stack([s, step[s]], 1).ravel()[: n - done]
-        s = s[s < size]
-        if not len(s):
-            raise ValueError("truncated stream")
-        got = code.symbol[window[s]]
-        out[done : done + len(s)] = got
-        done += len(s)
-        bits.at = 8 * first + int(s[-1]) + int(code.length[window[s[-1]]])
+            bits.at = 8 * first + at
+            length, d = reference(bits, bits.symbol(code), distance, width)
+            if d > done or done + length > n:
+                raise ValueError("reference out of range")
+            if d >= length:
+                out[done : done + length] = out[done - d : done - d + length]
+            else:
+                out[done : done + length] = np.resize(out[done - d : done], length)
+            done += length
+            at = bits.at - 8 * first
         if bits.at > bits.end:
             raise ValueError("truncated stream")
     return out
@@ -178,9 +212,9 @@ def read_pixels(bits: Bits, width: int, height: int, *, main: bool) -> np.ndarra
     for _ in range(1 if groups is None else int(groups.max()) + 1):
         codes.append([read_code(bits, n) for n in (LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)])
     n = width * height
-    if len(codes) == 1 and not cache_bits and codes[0][0].highest < LITERALS and all(c.single is not None for c in codes[0][1:4]):
-        green, red, blue, alpha, _ = codes[0]
-        run = np.full(n, green.single) if green.single is not None else literal_run(bits, green, n)
+    if len(codes) == 1 and not cache_bits and all(c.single is not None for c in codes[0][1:4]):
+        green, red, blue, alpha, distance = codes[0]
+        run = green_runs(bits, green, distance, n, width)
         return (run.astype(np.uint32) << np.uint32(8) | np.uint32(alpha.single << 24 | red.single << 16 | blue.single)).reshape(height, width)
     out, cache, put = [0] * n, [0] * (1 << cache_bits), 0
     where = None if groups is None else np.repeat(np.repeat(groups, 1 << scale, 0)[:height], 1 << scale, 1)[:, :width].ravel().tolist()
@@ -197,13 +231,7 @@ def read_pixels(bits: Bits, width: int, height: int, *, main: bool) -> np.ndarra
             if cache_bits:
                 cache[(0x1E35A7BD * px & 0xFFFFFFFF) >> shift] = px
         elif g < LITERALS + LENGTHS:
-            length, d = amount(bits, g - LITERALS), None
-            d = amount(bits, bits.symbol(distance))
-            if d > len(NEAR):
-                d -= len(NEAR)
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
+            length, d = reference(bits, g, distance, width)
             if d > put or put + length > n:
                 raise ValueError("reference out of range")
             for k in range(put, put + length):
@@ -251,6 +279,15 @@ def predicted(mode: int, left, top, corner, right) -> list[int]:
 def with_prediction(px: np.ndarray, modes: np.ndarray, scale: int, *, forward: bool) -> np.ndarray:
     """Subtracts (forward) or adds back each pixel's prediction from its neighbours before it."""
     height, width = px.shape
+    if not forward and modes.size and modes.min() == modes.max() and modes.min() in (1, 2):
+        # the left or the upper neighbour everywhere: running sums
+        c = split(px)
+        c[0, 0, 0] += 255
+        c[0] = np.cumsum(c[0], 0)
+        c[:, 0] = np.cumsum(c[:, 0], 0)
+        if height > 1:
+            c[1:] = np.cumsum(c[1:], 1) if modes.min() == 1 else np.cumsum(c, 0)[1:] if width == 1 else np.concatenate([c[1:, :1], np.cumsum(c, 0)[1:, 1:]], 1)
+        return join(c & 255)
     given = split(px).tolist()
     done = [[None] * width for _ in range(height)]
     whole = given if forward else done
@@ -375,7 +412,7 @@ def packed(values: np.ndarray, sizes: np.ndarray) -> bytes:
     if not len(ends):
         return b""
     at = ends - sizes
-    wide, word, n = values << (at & 15), at >> 4, int(ends[-1] + 15 >> 4) + 1
+    wide, word, n = values << (at & 15), at >> 4, int(ends[-1] >> 4) + 2
     out = np.bincount(word, wide & 0xFFFF, n) + np.bincount(word + 1, wide >> 16, n)
     return out.astype("<u2").tobytes()[: int(ends[-1] + 7 >> 3)]
 
@@ -437,27 +474,134 @@ def header(out: Writer, width: int, height: int) -> None:
     out.put(0x2F, 8), out.put(width - 1, 14), out.put(height - 1, 14), out.put(0, 1), out.put(0, 3)
 
 
-def encode_grey(samples: np.ndarray) -> bytes:
-    """A WebP file of 8-bit grey samples (height, width): green is coded, and the subtract-green transform gives red and blue."""
-    height, width = samples.shape
-    out, flat = Writer(), samples.ravel()
-    header(out, width, height)
+def _symbol(n: int) -> tuple[int, int, int]:
+    """The prefix symbol of a length or distance, its extra bits' value and number."""
+    if n <= 4:
+        return n - 1, 0, 0
+    extra = (n - 1).bit_length() - 2
+    half = (n - 1) >> extra & 1
+    return 2 * extra + 2 + half, (n - 1) & ((1 << extra) - 1), extra
+
+
+#: Bytes of the shortest repeat that is stored as a back-reference, of the longest, and of the stretch compared at once.
+LEAST, MOST, STRETCH = 20, 4096, 256
+
+
+def repeats(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of stretches that stood before, apart and in order; they begin after a space or control."""
+    n = len(flat)
+    starts = np.flatnonzero(np.concatenate([[True], flat[:-1] <= 32])[: max(0, n - LEAST + 1)])
+    if len(starts) < 2:
+        return []
+    wide = flat.astype(np.uint64)
+    for k in (1, 2, 4):
+        wide[: n - k] |= wide[k:] << np.uint64(8 * k)
+    keys = wide[starts] * np.uint64(0x9E3779B97F4A7C15) ^ wide[starts + 8] * np.uint64(0xC2B2AE3D27D4EB4F) ^ wide[starts + LEAST - 8]
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    out, free = [], 0
+    later, before = starts[order[1:][same]], starts[order[:-1][same]]
+    turn = np.argsort(later)
+    for i, p in zip(later[turn].tolist(), before[turn].tolist(), strict=True):
+        if i < free:
+            continue
+        length, most = 0, min(MOST, n - i)
+        while length < most:
+            stop = min(length + STRETCH, most)
+            differ = flat[i + length : i + stop] != flat[p + length : p + stop]
+            k = int(differ.argmax())
+            if differ[k]:
+                length += k
+                break
+            length = stop
+        if length >= LEAST:
+            out.append((i, length, i - p))
+            free = i + length
+    return out
+
+
+def _grey_transforms(out: Writer) -> None:
+    """Subtract-green, no further transform, no colour cache, one group of codes."""
     out.put(1, 1), out.put(2, 2), out.put(0, 1), out.put(0, 1), out.put(0, 1)
-    codes, sizes = write_code(out, np.bincount(flat, minlength=LITERALS + LENGTHS))
+
+
+def _constant_channels(out: Writer) -> None:
     for value in (0, 0, 255):
         write_code(out, np.eye(1, 256, value, dtype=np.int64)[0])
+
+
+def encode_grey(samples: np.ndarray) -> bytes:
+    """A WebP file of 8-bit grey samples (height, width): green is coded, and the subtract-green transform gives red and blue.
+
+    Of few values a palette with several samples a pixel is made.  Otherwise what repeats is stored as back-references if that is
+    estimated to take fewer bits, or differences from the left neighbour (predictor) if these have the lower entropy.
+    """
+    height, width = samples.shape
+    flat = samples.ravel()
+    counts = np.bincount(flat, minlength=LITERALS + LENGTHS)
+    values = np.flatnonzero(counts)
+    if len(values) <= 16:
+        px = samples.astype(np.uint32)
+        return encode(px << np.uint32(16) | px << np.uint32(8) | px | np.uint32(0xFF000000), palette=True)
+    out = Writer()
+    header(out, width, height)
+    shift = np.diff(samples, axis=1, prepend=np.concatenate([[samples[0, 0]], samples[:-1, 0]])[:, None].astype(np.uint8))
+    shift[0, 0] = samples[0, 0]
+    steps = np.bincount(shift.ravel(), minlength=LITERALS + LENGTHS)
+    if entropy(steps) < entropy(counts):
+        # predictor 1 for the whole picture, then subtract-green as always: of the residues, since green is what is coded
+        out.put(1, 1), out.put(0, 2), out.put(7, 3)
+        side = (-(-width >> 9), -(-height >> 9))
+        _write_pixels(out, np.full((side[1], side[0]), 0xFF000100, np.uint32), main=False)
+        _grey_transforms(out)
+        codes, sizes = write_code(out, steps)
+        # alpha's residue is zero everywhere: the first pixel is predicted as opaque black
+        for value in (0, 0, 0):
+            write_code(out, np.eye(1, 256, value, dtype=np.int64)[0])
+        write_code(out, np.zeros(DISTANCES, np.int64))
+        head, wide = out.array()
+        residues = shift.ravel()
+        return contained(packed(np.concatenate([head, codes[residues]]), np.concatenate([wide, sizes[residues]])))
+    _grey_transforms(out)
+    found = repeats(flat)
+    if found:
+        at, length, far = np.array(found).T
+        near = {max(1, x + y * width): i + 1 for i, (x, y) in reversed([*enumerate(NEAR)])}
+        coded = [(*_symbol(m), *_symbol(near.get(d, d + len(NEAR)))) for _, m, d in found]
+        by_length, by_far = np.array([c[:3] for c in coded]).T, np.array([c[3:] for c in coded]).T
+        covered = np.zeros(len(flat) + 1, np.int64)
+        np.add.at(covered, at, 1)
+        np.add.at(covered, at + length, -1)
+        literal = np.cumsum(covered[:-1]) == 0
+        left = np.bincount(flat[literal], minlength=LITERALS + LENGTHS)
+        left[LITERALS:] += np.bincount(by_length[0], minlength=LENGTHS)
+        places = np.bincount(by_far[0], minlength=DISTANCES)
+        bits = entropy(left) + entropy(places) + int(by_length[2].sum() + by_far[2].sum()) + 5 * (int((places > 0).sum()) + LENGTHS)
+        if bits < entropy(counts):
+            codes, sizes = write_code(out, left)
+            _constant_channels(out)
+            far_codes, far_sizes = write_code(out, places)
+            head, wide = out.array()
+            each = literal.astype(np.int64)
+            each[at] = 4
+            put = np.cumsum(each) - each
+            value, size = np.empty(int(each.sum()), np.int64), np.empty(int(each.sum()), np.int64)
+            value[put[literal]], size[put[literal]] = codes[flat[literal]], sizes[flat[literal]]
+            cells = ((codes[LITERALS + by_length[0]], sizes[LITERALS + by_length[0]]), by_length[1:], (far_codes[by_far[0]], far_sizes[by_far[0]]), by_far[1:])
+            for k, (v, z) in enumerate(cells):
+                value[put[at] + k], size[put[at] + k] = v, z
+            return contained(packed(np.concatenate([head, value]), np.concatenate([wide, size])))
+    codes, sizes = write_code(out, counts)
+    _constant_channels(out)
     write_code(out, np.zeros(DISTANCES, np.int64))
     head, wide = out.array()
     return contained(packed(np.concatenate([head, codes[flat]]), np.concatenate([wide, sizes[flat]])))
 
 
-def _symbol(n: int) -> tuple[int, int, int]:
-    """The prefix symbol of a length or distance, its extra bits' value and number."""
-    if n <= 4:
-        return n - 1, 0, 0
-    extra = (n - 1).bit_length() - 2
-    half = (n - 1) >> extra & 1
-    return 2 * extra + 2 + half, (n - 1) & ((1 << extra) - 1), extra
+def entropy(counts: np.ndarray) -> float:
+    """Bits that symbols of these counts take at best."""
+    some = counts[counts > 0].astype(np.float64)
+    return float(-(some * np.log2(some / some.sum())).sum()) if len(some) else 0.0
 
 
 def _write_pixels(out: Writer, px: np.ndarray, *, main: bool, cache_bits: int = 0, matches: bool = False) -> None:

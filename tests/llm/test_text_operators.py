@@ -193,6 +193,89 @@ def test_webp_round_trips(shape, kind):
             assert (webp.images(webp.encode(part, palette=True, predictor=1, cache_bits=2))[0] == part).all()
 
 
+def by_hand(*fields):
+    """A WebP file of a stream given field by field: (value, bits), lowest bit first, or bits as they follow each other."""
+    bits = "".join(f if isinstance(f, str) else f"{f[0]:0{f[1]}b}"[::-1] for f in fields)
+    bits += "0" * (-len(bits) % 8)
+    raw = bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+    body = b"WEBPVP8L" + len(raw).to_bytes(4, "little") + raw + bytes(len(raw) % 2)
+    return b"RIFF" + len(body).to_bytes(4, "little") + body
+
+
+def head(width, height):
+    return [(0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)]
+
+
+def one(symbol):
+    """A simple prefix code of one symbol."""
+    return [(1, 1), (0, 1), (1, 1), (symbol, 8)]
+
+
+def two(a, b):
+    return [(1, 1), (1, 1), (1, 1), (a, 8), (b, 8)]
+
+
+END, PLAIN = (0, 1), [(0, 1), (0, 1)]  # no further transform; no cache, no meta codes
+#: A code for code lengths: 18 (long run of zeros) is 0, 1 is 10, 17 (short run of zeros) is 11.
+RUNS = [(0, 1), (0, 4), (2, 3), (1, 3), (0, 3), (2, 3)]
+FIRST = 0xFF000500
+SLOT = (0x1E35A7BD * FIRST % 2**32) >> 31
+BY_HAND = {
+    "literals": ([*head(2, 1), END, *PLAIN, *one(20), *two(10, 11), *one(30), *one(255), *one(0), "0", "1"], [[0xFF0A141E, 0xFF0B141E]]),
+    # green 7 is 0 and 258, a length of 3, is 1; distance symbol 1 is the left neighbour
+    "reference": ([*head(6, 1), END, *PLAIN, *RUNS, (0, 1), "11", (4, 3), "10", "0", (127, 7), "0", (101, 7), "10", "0", (10, 7), *one(0), *one(0), *one(255), *one(1), "0001"], [[0xFF000700] * 6]),
+    "reference, coloured": ([*head(6, 1), END, *PLAIN, *RUNS, (0, 1), "11", (4, 3), "10", "0", (127, 7), "0", (101, 7), "10", "0", (10, 7), *two(0, 9), *one(0), *one(255), *one(1), "00", "01", "00", "1"], [[0xFF000700, 0xFF090700, *[0xFF000700] * 4]]),
+    # one bit of cache; green 5 is 0 and the cache's place is 1; five code lengths are stored
+    "cache": ([*head(3, 1), END, (1, 1), (1, 4), (0, 1), *RUNS, (1, 1), (0, 3), (3, 2), "11", (2, 3), "10", "0", (127, 7), "0", (125 + SLOT, 7), "10", *one(0), *one(0), *one(255), *one(0), "011"], [[FIRST] * 3]),
+    "subtract green": ([*head(1, 1), (1, 1), (2, 2), END, *PLAIN, *one(2), *one(1), *one(3), *one(255), *one(0)], [[0xFF030205]]),
+    "predictor 12": ([*head(2, 2), (1, 1), (0, 2), (0, 3), (0, 1), *one(12), *one(0), *one(0), *one(255), *one(0), END, *PLAIN, *one(1), *one(1), *one(0), *one(0), *one(0)], [[0xFF010100, 0xFF020200], [0xFF020200, 0xFF040400]]),
+    "predictor 1": ([*head(2, 2), (1, 1), (0, 2), (0, 3), (0, 1), *one(1), *one(0), *one(0), *one(255), *one(0), END, *PLAIN, *one(1), *one(1), *one(0), *one(0), *one(0)], [[0xFF010100, 0xFF020200], [0xFF020200, 0xFF030300]]),
+    # green to red 32 / 32, green to blue 16 / 32, red to blue -32 / 32
+    "cross-colour": ([*head(1, 1), (1, 1), (1, 2), (0, 3), (0, 1), *one(16), *one(0xE0), *one(32), *one(255), *one(0), END, *PLAIN, *one(8), *one(3), *one(20), *one(255), *one(0)], [[0xFF0B080D]]),
+    # two colours, the second as its difference; eight samples to a pixel
+    "palette": ([*head(5, 1), (1, 1), (3, 2), (1, 8), (0, 1), *two(1, 2), *one(1), *two(1, 3), *two(0, 255), *one(0), "111", "000", END, *PLAIN, *one(0b10110), *one(0), *one(0), *one(255), *one(0)], [[0xFF010203, 0xFF020304, 0xFF020304, 0xFF010203, 0xFF020304]]),
+}
+
+
+@pytest.mark.parametrize("name", BY_HAND)
+def test_webp_by_hand(name):
+    fields, pixels = BY_HAND[name]
+    assert webp.images(by_hand(*fields))[0].tolist() == pixels
+
+
+def features_used(data):
+    """Transforms and whether references occur, by the order of the encoder's choices."""
+    bits = webp.Bits(data[20:])
+    bits.at = 40
+    return bits.read(1) and bits.read(2)
+
+
+def test_payloads_in_every_form():
+    rng = random.Random(8)
+    prose = " ".join(rng.choice("some words that stand in no order at all but often".split()) for _ in range(700))
+    ramp = "".join(chr(33 + 3 * i % 94) for i in range(5000))
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+    for text, kind in (("", 3), ("ab" * 900, 3), (prose, 2), (ramp, 0), (f"{line} {line} {prose} " * 40, 2), ("é" * 70_000 + prose, 2), ("\n" + line * 30_000, None)):
+        data = media.payload(text)
+        stored = media.stored(data)
+        assert media.samples(stored) == data and (kind is None or features_used(stored) == kind), text[:20]
+    plain = webp.repeats(np.frombuffer(media.payload(prose), np.uint8))
+    for at, length, far in plain:
+        assert length >= webp.LEAST and media.payload(prose)[at : at + length] == media.payload(prose)[at - far : at - far + length]
+    twice = media.payload(f"{line} {line} {line}")
+    found = webp.repeats(np.frombuffer(twice, np.uint8))
+    assert [(a, d) for a, _, d in found] == [(61, 61)] and found[0][1] >= 121
+    assert len(media.stored(media.payload(f"{line} {prose[:800]} " * 20))) < len(media.stored(media.payload(f"{line} {prose[:800]} "))) * 2
+
+
+def brute_feature(data):
+    n, total = len(data), sum(data)
+    size = n // 64
+    bits = "".join("1" if sum(data[k * size : (k + 1) * size]) * 64 > total else "0" for k in range(64))
+    shares = [sum(b // 32 == k for b in data) * 1000 // n for k in range(8)]
+    return f"{int(bits, 2):016x}:{total // n}:" + "-".join(map(str, shares))
+
+
 def test_webp_malformed():
     data = webp.encode(picture(np.random.default_rng(1), (6, 6), "smooth"), predictor=11)
     rng = random.Random(2)
@@ -207,6 +290,7 @@ def test_webp_malformed():
 
 def test_media(spark, texts):
     some = texts[: len(ODD) + 50] + ["big " * 400_000]
+    files = {r.doc_id: bytes(r.media) for r in media.store(frame(spark, some)).collect()}
     stored = media.load(media.store(frame(spark, some))).collect()
     for r in stored:
         assert bytes(r.samples) == media.payload(some[r.doc_id] or "")
@@ -220,6 +304,8 @@ def test_media(spark, texts):
         import zlib
 
         assert r.tail_crc32 == zlib.crc32(padded[-64:])
+        assert r.media_bytes == len(files[i]) and r.media_sha256 == hashlib.sha256(files[i]).hexdigest()
+        assert r.feature == brute_feature(padded)
     assert got[0].feature == got[1].feature and got[0].media_sha256 == got[1].media_sha256
 
 
