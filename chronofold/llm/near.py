@@ -42,11 +42,11 @@ DIFFER, MISS = 0.16, 0.001
 #: Unlike texts of one trie, and the least number of bits by which it is entered.
 CROWD, LEAST_BITS = 64, 4
 #: Tables of the first pass; pairs a member for which all pairs of a trie are proposed at once.
-FIRST, MANY = 4, 4
+FIRST, MANY = 4, 16
 #: Members of a trie's part; rows that a task walks, and pairs that it may have, at once; members from which joined ones are set apart.
 LEAF, WALK, PAIRS, CROWDED = 1024, 1 << 14, 1 << 21, 128
 
-_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 NODE = ["node", "root", *(f"w{i}" for i in range(CARRIED))]
 
 
@@ -65,6 +65,32 @@ def similar(a: frozenset[bytes], b: frozenset[bytes]) -> bool:
     return UNDER * both >= OVER * (len(a) + len(b) - both)
 
 
+class WordHashes(dict):
+    """Hashes of words, made as they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+#: Words whose hashes a worker remembers; beyond that it starts anew.
+REMEMBERED = 400_000
+_words = WordHashes()
+
+
+def shingle_hashes(text: str) -> np.ndarray:
+    """The hashes of the text's distinct shingles: those of their words, mixed one after the other."""
+    if len(_words) > REMEMBERED:
+        _words.clear()
+    words = text.encode().lower().split()
+    each, run = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)), min(SHINGLE, len(words))
+    out = np.full(len(words) - run + 1, _ODD[0], np.uint64)
+    for i in range(run):
+        out = (out ^ each[i : len(words) - run + 1 + i]) * np.uint64(_ODD[1])
+        out ^= out >> np.uint64(31)
+    return np.unique(out)
+
+
 def wide_prints(texts: list[str]) -> np.ndarray:
     """Fingerprints of the sets of shingles: a row of WORDS words a text, whose bits are set in over half of the hashes."""
     out = np.zeros((len(texts), WORDS), np.uint64)
@@ -75,17 +101,16 @@ def wide_prints(texts: list[str]) -> np.ndarray:
         sizes = np.array([len(h) for h in held])
         starts, hashes = np.cumsum(sizes) - sizes, np.concatenate(held)
         for j in range(WORDS):
-            if j:
-                # other bits of the same shingles: a mixing step for each word
-                hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(_ODD[j - 1])
-                hashes ^= hashes >> np.uint64(32)
+            # other bits of the same shingles for each word
+            hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(_ODD[j])
+            hashes ^= hashes >> np.uint64(32)
             counts = simhash.bit_counts(hashes, starts)
             out[rows, j] = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
         held.clear(), rows.clear()
 
     size = 0
     for k, text in enumerate(texts):
-        held.append(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text)), np.uint64))
+        held.append(shingle_hashes(text))
         rows.append(k)
         size += len(held[-1])
         if size > simhash.SHINGLES:
@@ -227,20 +252,25 @@ def proposed(nodes: DataFrame, bits: int, tables: range, *, only: DataFrame | No
     if only is not None:
         dealt = dealt.join(small(only), "key", "left_semi")
     of = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
-    large = small(shared(of.where((F.col("n") > LEAF) & (F.col("least") < F.col("most"))).select("key", "n", F.ceil(F.col("n") / F.lit(LEAF)).cast("int").alias("parts"))))
-    if apart:
-        large = large.select("key", "parts", F.lit(None).cast("long").alias("top"))
+    large = shared(of.where((F.col("n") > LEAF) & (F.col("least") < F.col("most"))).select("key", "n", F.ceil(F.col("n") / F.lit(LEAF)).cast("int").alias("parts")))
+    zero = F.lit(0)
+    if large.isEmpty():
+        dealt = dealt.select("key", zero.alias("low"), zero.alias("high"), *NODE)
     else:
-        by_root = dealt.join(large, "key").groupBy("key", "n", "parts", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key", "n", "parts").agg(F.max(F.struct("m", "root")).alias("t"))
-        large = small(shared(by_root.select("key", "parts", F.when(F.col("n") - F.col("t.m") <= LEAF, F.col("t.root")).alias("top"))))
-    dealt = dealt.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")
-    each = F.sequence(F.lit(0), F.col("parts") - 1)
-    alone = F.array(F.struct(own.alias("low"), own.alias("high")))
-    all_parts = F.transform(each, lambda j: F.struct(j.alias("low"), j.alias("high")))
-    pairs = F.transform(each, lambda j: F.struct(F.least(own, j).alias("low"), F.greatest(own, j).alias("high")))
-    to = F.when(F.lit(apart) | (F.col("parts") == 1) | (F.col("root") == F.col("top")), alone).when(F.col("top").isNotNull(), all_parts).otherwise(pairs)
-    dealt = dealt.select("key", *NODE, F.explode(to).alias("p")).select("key", "p.low", "p.high", *NODE)
+        large = small(large)
+        if not apart:
+            by_root = dealt.join(large, "key").groupBy("key", "n", "parts", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key", "n", "parts").agg(F.max(F.struct("m", "root")).alias("t"))
+            large = small(shared(by_root.select("key", "parts", F.when(F.col("n") - F.col("t.m") <= LEAF, F.col("t.root")).alias("top"))))
+        dealt = dealt.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        own = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")
+        each = F.sequence(zero, F.col("parts") - 1)
+        alone = F.array(F.struct(own.alias("low"), own.alias("high")))
+        to = alone
+        if not apart:
+            all_parts = F.transform(each, lambda j: F.struct(j.alias("low"), j.alias("high")))
+            pairs = F.transform(each, lambda j: F.struct(F.least(own, j).alias("low"), F.greatest(own, j).alias("high")))
+            to = F.when((F.col("parts") == 1) | (F.col("root") == F.col("top")), alone).when(F.col("top").isNotNull(), all_parts).otherwise(pairs)
+        dealt = dealt.select("key", *NODE, F.explode(to).alias("p")).select("key", "p.low", "p.high", *NODE)
     dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return dealt.mapInArrow(_walk(every), "u long, v long")
 
@@ -271,21 +301,20 @@ def firsts(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFram
     nodes = shared(same.groupBy(*words).agg(F.min(F.struct("id", "copy", "n")).alias("first")).select(F.col("first.copy").alias("node"), "first", *words))
     bits, tables = plan(nodes.count())
     told = named.withColumn("copy", copy_of(F.col("text")))
-    edges = tried = roots = only = None
+    edges = roots = only = None
     for turn in range(4):
         every = turn == 3
         own = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         found = shared(proposed(own, bits, range(min(FIRST, tables) if turn == 0 else tables), only=only, apart=turn == 0, every=every))
-        pairs = found.where("v is not null").distinct()
-        pairs = shared(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        pairs = shared(found.where("v is not null").distinct())
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         wanted = shared(nodes.join(ends, "node").select(F.col("node").alias("copy"), F.col("first.id").alias("id")))
         # one row holds the text of a node: that of its least id
         texts = told.join(small(wanted), ["copy", "id"], "left_semi").groupBy(F.col("copy").alias("node")).agg(F.first("text").alias("text"))
         new = shared(confirmed(pairs, texts))
-        edges = new if edges is None else edges.unionByName(new)
-        roots = components(edges).select("node", "root")
+        if roots is None or not new.isEmpty():
+            edges = new if edges is None else edges.unionByName(new)
+            roots = components(edges).select("node", "root")
         if turn:
             only = found.where("v is null").select(F.col("u").alias("key")).distinct()
             if every or only.isEmpty():

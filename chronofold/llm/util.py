@@ -73,6 +73,8 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, total: int) ->
     rows isn't one task's; the rest is shuffled.  ``n`` is dropped; ``right`` should be cheap to read twice.
     """
     hot = right.where(F.col(n) > max(HOT_ROWS, total // HOT_KEYS)).drop(n)
+    if hot.isEmpty():
+        return left.join(right.drop(n), key)
     cold = right.where(F.col(n) <= max(HOT_ROWS, total // HOT_KEYS)).drop(n)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
     return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))

@@ -330,9 +330,19 @@ def brute_near(rows):
 def test_wide_prints():
     texts = ["", "a", "A b  c", " ".join(f"w{i % 50}" for i in range(300))] + [" ".join(f"w{i * k % 97}" for i in range(5 * k)) for k in range(30)]
     found = near.wide_prints(texts)
+    size = 1 << 64
     for k, text in enumerate(texts):
-        hashes = [xxhash.xxh64_intdigest(s) for s in near.shingles(text)]
-        assert int(found[k, 0]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        hashes = []
+        for run in near.shingles(text):
+            h = near._ODD[0]
+            for word in run.split():
+                h = (h ^ xxhash.xxh64_intdigest(word)) * near._ODD[1] % size
+                h ^= h >> 31
+            hashes.append(h)
+        for j in range(near.WORDS):
+            hashes = [(h ^ h >> 29) * near._ODD[j] % size for h in hashes]
+            hashes = [h ^ h >> 32 for h in hashes]
+            assert int(found[k, j]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
     assert (near.wide_prints(texts[5:6]) == found[5]).all()
     bits, tables = near.plan(100_000)
     keys = near.table_keys(found.view(np.int64), bits, range(tables))
