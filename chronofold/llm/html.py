@@ -25,6 +25,7 @@ SKIPPED = frozenset("head script style noscript template svg math iframe object
 BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset header".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
+HEADINGS, WALLS = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("article table td body".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Words of a class or id that mark what is no part of an article.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot adbox banner sponsor sponsored sponsors promo promos promotion promoted cookie cookies consent gdpr notice notices notification alert disclaimer popup modal overlay newsletter subscribe subscription signup login paywall comment comments commentlist respond disqus replies reply discussion sidebar side rail widget widgets nav navbar navigation menu submenu topbar breadcrumb breadcrumbs pager pagination header masthead footer foot copyright legal share sharing social related recommended recommendations trending teaser tags toolbar search skip hidden".split())
@@ -42,7 +43,13 @@ STOP_WORDS = frozenset(
 SHORT, LONG = 70, 200
 LINKS, STOPS_LOW, STOPS_HIGH = 0.33, 0.2, 0.3
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.DOTALL | re.IGNORECASE)
+#: Elements whose contents are no markup, up to their end tag; of the second kind only if there is one.
+RAW, RAW_IF_CLOSED = frozenset("script style textarea".split()), frozenset("noscript template svg iframe".split())
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"""[>"']""")
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW | RAW_IF_CLOSED}
+#: Numbers of references that are too large for a character, and zeros that say nothing: html.unescape takes numbers of any length for numbers.
+_LARGE, _ZEROS = re.compile(r"&#(?:[1-9][0-9]{7,}|[xX][1-9a-fA-F][0-9a-fA-F]{6,});?"), re.compile(r"(&#[xX]?)0+(?=[0-9a-fA-F])")
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -65,10 +72,53 @@ def marked(attributes: str) -> bool:
     return False
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closes, attributes) of each piece of markup, in time linear in the page; comments, declarations and elements that
+    hold no markup have no name.
+
+    A tag ends at the first ``>`` outside quotes.  A quote that nothing closes counts for nothing, and once no ``>`` outside quotes is left,
+    quotes count for nothing in all that follows.
+    """
+    at, n, last = page.find("<"), page.rfind(">"), {q: page.rfind(q) for q in "\"'"}
+    unclosed: set[str] = set()
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+        elif at > n:
+            return
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at) + 1
+            yield at, end, "", False, ""
+        elif m := _NAME.match(page, at + 1):
+            k = m.end()
+            while (stop := _STOP.search(page, k)) and stop[0] != ">":
+                k = page.find(stop[0], stop.end()) + 1 if stop.start() < last[stop[0]] else stop.end()
+            if not stop:
+                last = dict.fromkeys(last, -1)
+                stop = _STOP.search(page, page.find(">", m.end()))
+            end, name, attributes = stop.end(), m[0].lower(), page[m.end() : stop.start()]
+            if (raw := _ENDS.get(name)) and name not in unclosed and (name in RAW or not attributes.endswith("/")):
+                close = raw.search(page, end)
+                if close or name in RAW:
+                    end, name = close.end() if close else len(page), ""
+                else:
+                    unclosed.add(name)
+            yield at, end, name.lstrip("/"), name.startswith("/"), attributes
+        else:
+            end = at + 1
+        at = page.find("<", end)
+
+
 def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     """(text, characters in links, in boilerplate, in an article, is a heading) of each block that has text, in page order."""
     out: list[tuple[str, int, bool, bool, bool]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, skipped, boilerplate, article
+    #: Where in the stack each tag, what ends inline elements, and blocks stand.
+    places: dict[str, list[int]] = {}
+    walls: list[int] = []
+    held: list[int] = []
     texts: list[str] = []
     linked = links = heading = 0
     at = 0
@@ -86,7 +136,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     def say(part: str) -> None:
         nonlocal linked
         if part and not (stack and stack[-1][1]):
-            plain = html.unescape(part) if "&" in part else part
+            plain = html.unescape(_LARGE.sub("\ufffd", _ZEROS.sub(r"\1", part))) if "&" in part else part
             texts.append(plain)
             if links:
                 linked += len(" ".join(plain.split()))
@@ -98,22 +148,21 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             if tag in BLOCKS:
                 flush()
             links -= tag == "a"
-            heading -= tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+            heading -= tag in HEADINGS
             stack.pop()
+            places[tag].pop()
+            for some in (walls, held):
+                if some and some[-1] == len(stack):
+                    some.pop()
 
-    for m in _TAG.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        if not m[3]:
+    for start, end, tag, closes, attributes in tags(page):
+        say(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[3].lower()
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    leave(k)
-                    break
-                if stack[k][0] in ("article", "table", "td", "body") and tag not in BLOCKS:
-                    break
+        if closes:
+            if (k := places.get(tag)) and (tag in BLOCKS or not walls or k[-1] >= walls[-1]):
+                leave(k[-1])
             if tag == "p" or tag == "br":
                 flush() if tag == "p" else say(" ")
             continue
@@ -123,23 +172,27 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             else:
                 say(" " if tag == "br" else "")
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if tag in CLOSED_BY.get(stack[k][0], ()):
-                leave(k)
-                break
-            if stack[k][0] in BLOCKS or tag not in BLOCKS and stack[k][0] != "a":
-                break
         if tag in BLOCKS:
+            if held and tag in CLOSED_BY.get(stack[held[-1]][0], ()):
+                leave(held[-1])
             # an inline element left open ends with the block it stands in
             flush()
+        elif tag == "a" and links and (not walls or places["a"][-1] >= walls[-1]):
+            # links hold no links
+            leave(places["a"][-1])
         _, skip, bad, article = stack[-1] if stack else ("", False, False, False)
         inside = article or tag in ("article", "main")
-        own = tag in BOILERPLATE and not (tag == "header" and article) or tag not in ("html", "body", "article", "main") and bool(m[4]) and marked(m[4])
-        if (m[4] or "").rstrip().endswith("/") and tag not in BLOCKS:
+        own = tag in BOILERPLATE and not (tag == "header" and article) or tag not in ("html", "body", "article", "main") and bool(attributes) and marked(attributes)
+        if attributes.rstrip().endswith("/") and tag not in BLOCKS:
             continue
+        if tag in WALLS:
+            walls.append(len(stack))
+        if tag in BLOCKS or tag == "head":
+            held.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, skip or tag in SKIPPED, bad or own, inside))
         links += tag == "a"
-        heading += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        heading += tag in HEADINGS
     say(page[at:])
     leave(0)
     flush()

@@ -3,8 +3,11 @@
 import base64
 import hashlib
 import json
+import os
 import random
 import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -170,6 +173,142 @@ def test_html_rows(spark):
     assert all(got[i].text == t and got[i].n_chars == len(t) for i, (_, t) in enumerate(PAGES)) and len(got) == len(PAGES) + 1
 
 
+class Tree(HTMLParser):
+    """A second way to the blocks of a page whose elements are all closed: whole paths are looked at for every piece of text."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.path, self.found, self.piece = [], [], []
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        text = " ".join("".join(t for t, _ in self.piece).split())
+        if text:
+            names = [t for t, _ in self.path]
+            bad, article = False, False
+            for tag, attrs in self.path:
+                named = set(re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower()))
+                role = (attrs.get("role") or "").lower() in html.ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
+                frame = tag in ("html", "body", "article", "main")
+                bad |= (tag in html.BOILERPLATE and not (tag == "header" and article)) or (not frame and (role or bool(named & html.MARKS)))
+                article |= tag in ("article", "main")
+            heading = any(n in html.HEADINGS for n in names)
+            self.found.append((text, sum(len(" ".join(t.split())) for t, link in self.piece if link), bad, article, heading))
+        self.piece = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html.VOID:
+            if tag == "hr":
+                self.end()
+            elif tag == "br":
+                self.piece.append((" ", False))
+            return
+        if tag in html.BLOCKS:
+            self.end()
+        self.path.append((tag, dict(attrs)))
+
+    def handle_endtag(self, tag):
+        while self.path:
+            if self.path[-1][0] in html.BLOCKS:
+                self.end()
+            if self.path.pop()[0] == tag:
+                break
+
+    def handle_data(self, data):
+        names = [t for t, _ in self.path]
+        if not any(n in html.SKIPPED for n in names):
+            self.piece.append((data, "a" in names))
+
+
+def second_text(page):
+    """The two passes, with a look at every block for each block."""
+    found = Tree(page).found
+    words = [[w.lower() for w in re.findall(r"[^\W\d_]+", b[0])] for b in found]
+    density = [sum(w in html.STOP_WORDS for w in ws) / max(1, len(ws)) for ws in words]
+    label = []
+    for (text, linked, bad, _, heading), d in zip(found, density, strict=True):
+        kind = "bad" if bad or (linked / len(text) > 0.33 and not heading) else "short" if len(text) < 70 else "good" if d >= 0.2 else "near" if d > 0 or heading else "none"
+        label.append(kind)
+    weight = {side: sum(len(b[0]) for b, c in zip(found, label, strict=True) if c == "good" and b[3] == side) for side in (True, False)}
+    leads = any(b[3] and not b[2] for b in found) and weight[True] >= weight[False]
+    for k, b in enumerate(found):
+        if leads and not b[3] and (label[k] != "good" or density[k] < 0.3 or len(b[0]) < 200):
+            label[k] = "bad"
+        if label[k] == "none":
+            label[k] = "near" if leads else "bad"
+    keep = []
+    for k, b in enumerate(found):
+        if label[k] in ("good", "bad"):
+            keep.append(label[k] == "good")
+            continue
+        before = next((i for i in range(k - 1, -1, -1) if label[i] in ("good", "bad")), None)
+        after = next((i for i in range(k + 1, len(found)) if label[i] in ("good", "bad")), None)
+        near = [i for i in (before, after) if i is not None]
+        if leads:
+            near = [label[i] for i in near if found[i][3] and not found[i][2]]
+            keep.append(not near or "good" in near)
+        else:
+            near = [label[i] for i in near]
+            keep.append(bool(near) and ("good" in near if label[k] == "near" or b[4] else set(near) == {"good"}))
+    return "\n".join(b[0] for b, good in zip(found, keep, strict=True) if good)
+
+
+def made_page(rng):
+    """A page of closed elements, of every kind that the rules tell apart."""
+    common, rare = "the of and is it was to in that we".split(), "Zyx Berlin Kappa Register Munich Court Omega".split()
+
+    def words(n, share):
+        return " ".join(rng.choice(common if rng.random() < share else rare) for _ in range(n))
+
+    def block(depth):
+        kind = rng.randrange(10)
+        if kind < 4 or depth > 2:
+            tag = rng.choice(["p", "p", "div", "li", "h2", "blockquote"])
+            text = words(rng.choice([2, 5, 20, 60]), rng.choice([0, 0.1, 0.25, 0.5, 0.6]))
+            if rng.random() < 0.3:
+                text += f" <a href='x'>{words(rng.choice([1, 8, 30]), 0.3)}</a> &amp; <b>{words(2, 0.5)}</b><br>{words(1, 0)}"
+            return f"<{tag}{rng.choice(['', '', ' class=\"lead\"', ' class=\"sideBar x\"', ' hidden', ' role=search'])}>{text}</{tag}>"
+        if kind == 4:
+            return f"<script>if (a < b) {{ x('<p>{words(30, 0.5)}</p>') }}</script><!-- <p>{words(30, 0.5)}</p> --><hr>"
+        tag = rng.choice(["div", "section", "article", "main", "nav", "footer", "header", "aside", "form"])
+        return f"<{tag}>" + "".join(block(depth + 1) for _ in range(rng.randrange(5))) + f"</{tag}>"
+
+    return "<html><head><title>T</title></head><body>" + "".join(block(0) for _ in range(rng.randrange(1, 9))) + "</body></html>"
+
+
+def test_html_a_second_way():
+    rng = random.Random(12)
+    for page in (made_page(rng) for _ in range(1500)):
+        assert html.extract(page) == second_text(page), page
+
+
+def test_html_of_the_table_a_second_way():
+    parquet = pytest.importorskip("pyarrow.parquet")
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no tables")
+    for page in parquet.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist():
+        assert html.extract(page or "") == second_text(page or "")
+
+
+HOSTILE = ["<a ", '<a ">" ', "<svg>", "<b>", "</b>", "<!", "<!--", "<div>", "<p>the of a", "<a href=x>y", "&#1", "<", "<i class='", "</p>", "<article><b>"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_hostile_pages_take_time_in_proportion(piece):
+    began = time.perf_counter()
+    html.extract(piece * (600_000 // len(piece)))
+    assert time.perf_counter() - began < 20
+
+
+def test_html_odd_markup():
+    assert html.extract("<article><p>a &#" + "9" * 5000 + "; b &#0000000065; &#x41;</p></article>") == "a \ufffd b A A"
+    assert html.extract("<article><p>one<svg/>two</p><svg><text>x</text></svg><noscript>three</p></article>") == "onetwo"
+    assert html.extract("<article><p title='>'>a</p><p title='>b</p></article>") == "a\nb"
+    assert html.extract("<p>a <b><article><p>" + "the of and it is " * 20 + "</b> x</p></article>").endswith("x")
+
+
 def picture(rng, shape, kind):
     y, x = np.indices(shape)
     if kind == "smooth":
@@ -311,4 +450,4 @@ def test_media(spark, texts):
 
 def test_empty_tables(spark):
     none = frame(spark, [])
-    assert tokens.token_counts(none, PATH).count() == bpe.round_trip(none, PATH).count() == secrets.scan_secrets(none).count() == media.round_trip(none).count() == 0
+    assert tokens.token_counts(none, PATH).count() == bpe.round_trip(none, PATH).count() == secrets.scan_secrets(none).count() == html.main_text(none, html="text", out="main").count() == media.round_trip(none).count() == 0
