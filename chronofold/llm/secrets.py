@@ -31,7 +31,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _SIGN = re.compile(r"[dtnyDTNY][\"']?\x20*[:=]")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z0-9 ]*)-----((?:[^-]++|-(?!----))*+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]++)-----")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _B64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 _B64URL = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{40,}={0,2}")
@@ -112,6 +112,20 @@ def is_signed_token(text: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
 
+def armoured(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, body) of every armoured key or certificate: the next dashes after its first line are those of its last."""
+    at = 0
+    while m := _PEM.search(text, at):
+        at = m.end()
+        k = text.find("-----", at)
+        if k < 0:
+            return
+        last = f"-----END {m[1]}-----"
+        if ("KEY" in m[1] or "CERTIFICATE" in m[1]) and text.startswith(last, k):
+            yield m.start(), k + len(last), text[at:k]
+            at = k + len(last)
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, kind's number, end) of every secret, in order; code points, ends exclusive.
 
@@ -132,11 +146,11 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         if len(m[0]) % 2 == 0 and is_der(bytes.fromhex(m[0])):
             add("der", m)
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            lines = [x for x in m[2].split("\n") if ":" not in x]
+        for start, stop, body in armoured(text):
+            lines = [x for x in body.split("\n") if ":" not in x]
             # what an encrypted body holds has no structure
-            if (b := decoded("".join(lines))) and (is_der(b) or is_ssh(b) or "4,ENCRYPTED" in m[2]):
-                add("pem", m)
+            if (b := decoded("".join(lines))) and (is_der(b) or is_ssh(b) or "4,ENCRYPTED" in body):
+                out.append((start, KINDS.index("pem"), stop))
     if "eyJ" in text:
         for m in _JWT.finditer(text):
             if is_signed_token(m[0]):

@@ -136,6 +136,17 @@ def test_secrets_in_other_forms():
     assert ("pem", pem) in kinds(f"x {pem} y")
 
 
+SECRETS_LIKE = ["KEY ", "-----BEGIN KEY-----", "-----BEGIN KEY ", "eyJ", "eyJa.", "token ", " ", 'password"', "AKIA", "M", "MAAAAAAAAAAAAAAAAAAA\n", "AAAA\n\t ", "0", "30", "a_", "f-", "3080"]
+
+
+@pytest.mark.parametrize("piece", SECRETS_LIKE)
+def test_hostile_texts_take_time_in_proportion(piece):
+    for lead in ("", "-----BEGIN ", "secret"):
+        began = time.perf_counter()
+        secrets.scan(lead + piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - began < 15
+
+
 PAGES = [
     (None, ""), ("", ""), ("<p>", ""), ("<article><h1>T</h1><p>a &amp; b<br>c  d</p><p>e <b>f</b>g</p></article><footer>x</footer>", "T\na & b c d\ne fg"),
     ('<nav><a href="/">n</a></nav><div class="ad">buy</div><article><p>One.<p>Two <script>x("</p>")</script>three</article>', "One.\nTwo three"),
