@@ -1,8 +1,9 @@
 """Quality classifier (operator 8).
 
-Random indexing: every token bucket has a sparse ternary index vector, and its word vector is the sum of the index vectors of its
-neighbours over the whole corpus, plus its own.  Documents are pooled to the mean of their tokens' vectors; a two-layer numpy network scores
-them, and a temperature fitted on rows that it has not been trained on calibrates its probabilities.
+Random indexing: a word has a sparse ternary index vector, found by its hash, and its word vector is the sum of the index vectors of its
+neighbours over the whole corpus, plus its own.  Words are hashed into BUCKETS, so that the vectors are a table of fixed size whatever the
+corpus: words of one bucket share theirs (the README gives the rate and what it costs).  Documents are pooled to the mean of their words' vectors;
+a two-layer numpy network scores them, and a temperature fitted on rows that it has not been trained on calibrates its probabilities.
 
 Sums of index vectors are whole numbers, so that word vectors do not depend on how the rows are dealt out, nor scores beyond rounding.
 """
@@ -26,6 +27,8 @@ FEATURES = DIMENSIONS + WINDOW + 2
 MOST_LABELLED = 20_000
 #: Bytes that are taken apart at once; longer texts are cut at white space or, without any, wherever they are.
 CHUNK = 1 << 19
+#: Neighbours that a task counts before it folds its table of pairs into sums: no count of the table can run over.
+FOLD = 1 << 30
 
 # Byte classes: 0 white space and controls, 1 letters (and all beyond ASCII), 2 digits, 3 punctuation.
 _CLASS = np.array([0 if b <= 32 or b == 127 else 2 if 48 <= b <= 57 else 1 if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 3 for b in range(256)], np.uint8)
@@ -108,7 +111,17 @@ def context_sums(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
     ship(docs.sparkSession)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, seen = np.zeros(BUCKETS * BUCKETS, np.int32), np.zeros(BUCKETS, np.int64)
+        pairs, seen, sums, since = np.zeros(BUCKETS * BUCKETS, np.int32), np.zeros(BUCKETS, np.int64), np.zeros((BUCKETS, DIMENSIONS), np.int64), 0
+        own = index_vectors().astype(np.float64)
+
+        def fold() -> None:
+            table = pairs.reshape(BUCKETS, BUCKETS)
+            for k in range(0, BUCKETS, 256):  # whole numbers below 2**53 are exact
+                rows = table[k : k + 256].astype(np.float64)
+                sums[k : k + 256] += (rows @ own).astype(np.int64)
+                sums[:] += (rows.T @ own[k : k + 256]).astype(np.int64)
+            pairs[:] = 0
+
         for batch in batches:
             for texts in steps(batch.column(0)):
                 for raw, _, starts in parts(texts):
@@ -118,15 +131,14 @@ def context_sums(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
                     for d in range(1, WINDOW + 1):
                         same = owner[d:] == owner[:-d]
                         np.add.at(pairs, t[:-d][same] * BUCKETS + t[d:][same], 1)
+                    since += len(t) * WINDOW
+                    if since > FOLD:
+                        fold()
+                        since = 0
         if seen.any():
-            own, table = index_vectors().astype(np.float64), pairs.reshape(BUCKETS, BUCKETS)
-            sums = np.zeros((BUCKETS, DIMENSIONS))
-            for k in range(0, BUCKETS, 256):  # whole numbers below 2**53 are exact
-                rows = table[k : k + 256].astype(np.float64)
-                sums[k : k + 256] += rows @ own
-                sums += rows.T @ own[k : k + 256]
+            fold()
             some = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some]), *(pa.array(sums[some, i].astype(np.int64)) for i in range(DIMENSIONS))], ["bucket", "n", *(f"v{i}" for i in range(DIMENSIONS))])
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some]), *(pa.array(sums[some, i]) for i in range(DIMENSIONS))], ["bucket", "n", *(f"v{i}" for i in range(DIMENSIONS))])
 
     names = ["n", *(f"v{i}" for i in range(DIMENSIONS))]
     by_task = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(gather, "bucket long, " + ", ".join(f"{c} long" for c in names))
@@ -219,8 +231,8 @@ def held_out(id):
 def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELLED) -> tuple[np.ndarray, Network]:
     """Word vectors over all of ``docs``, and a network fitted on the labelled rows that are not held out.
 
-    Of those, ``most`` are used: the ones with the least hashes of their ids.  Rows without an id or a label are not used; a repeated
-    id counts as often as it is labelled.
+    Of those, ``most`` are used: the ones with the least hashes of their ids.  Rows without an id or a label are not used; an id counts as
+    often as it is labelled, with the text whose hash is least where several rows have it.
     """
     ship(docs.sparkSession)
     vectors = word_vectors(*context_sums(docs, text))
@@ -238,8 +250,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
             x = np.concatenate([np.empty((0, FEATURES)), *(pooled(texts, own.value) for texts in steps(batch))])
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
-    rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id").select("id", "y", pool("text").alias("x"))
-    rows = rows.orderBy(F.xxhash64("id"), "id", "y", "x").limit(4 * most).toPandas()  # repeated ids aside, as many as are chosen
+    chosen = F.broadcast(chosen)
+    said = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(F.broadcast(chosen.select("id").distinct()), "id")
+    said = said.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    # a row for each chosen label at most
+    rows = said.select("id", pool("text").alias("x")).join(chosen, "id").orderBy(F.xxhash64("id"), "id", "y").toPandas()
     x = np.array(rows["x"].tolist()).reshape(-1, FEATURES)
     own.unpersist()
     return vectors, Network(x, rows["y"].to_numpy())

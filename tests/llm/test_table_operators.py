@@ -204,6 +204,72 @@ def test_quality(spark):
     assert all(abs(again[r.doc_id, r.text] - r.score) < 1e-9 for r in got)
 
 
+def brute_tokens(text):
+    """Bucket of each token, byte by byte."""
+    out, size = [], 1 << 64
+    for m in re.finditer(rb"[A-Za-z\x80-\xff]+|[0-9]+|[!-/:-@\[-`{-~]+", (text or "").encode()):
+        word = m[0]
+        if word[0:1].isdigit():
+            mixed = 1
+        elif len(word) > 1 and word.isalpha() and word.isascii() and word.upper() == word:
+            mixed = 2
+        else:
+            mixed = sum((b + 32 if 65 <= b <= 90 else b) * quality._STEP**i + quality._STEP**i for i, b in enumerate(word)) % size
+        mixed ^= mixed >> 31
+        out.append((mixed * 0xBF58476D1CE4E5B9 % size >> 52) % quality.BUCKETS)
+    return out
+
+
+def test_quality_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FOLD", 50)
+    rng = random.Random(9)
+    texts = [None, "", "One", "12 a"] + [" ".join(rng.choice("The the of RIVER, tree's 42 é%É !! x-y".split()) for _ in range(rng.randrange(60))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sums, seen = quality.context_sums(docs)
+    own, want, times = quality.index_vectors(), np.zeros_like(sums), np.zeros_like(seen)
+    for t in map(brute_tokens, texts):
+        for i, x in enumerate(t):
+            times[x] += 1
+            for j in range(max(0, i - quality.WINDOW), min(len(t), i + quality.WINDOW + 1)):
+                want[x] += own[t[j]] if j != i else 0
+    assert (sums == want).all() and (seen == times).all()
+    vectors = quality.word_vectors(sums, seen)
+    for x in np.flatnonzero(times):
+        mean = want[x] / times[x] - want.sum(0) / times.sum()
+        length = np.sqrt((mean**2).sum())
+        assert np.allclose(vectors[x], (mean / length if length else 0) + own[x] / np.sqrt((own[x] ** 2).sum()), atol=1e-5)
+    rows = quality.pooled([t or "" for t in texts], vectors)
+    for t, row in zip(map(brute_tokens, texts), rows, strict=True):
+        v = vectors[t].astype(float)
+        mean = v.mean(0) if len(t) else np.zeros(quality.DIMENSIONS)
+        near = [sum(v[i] @ v[i - d] for i in range(d, len(t))) / max(1, len(t)) for d in range(1, quality.WINDOW + 1)]
+        assert np.allclose(row, [*mean, *near, np.sqrt((mean**2).sum()), np.log(1 + len(t))], atol=1e-4)
+
+
+def test_quality_network():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(800, 5))
+    y = (x @ [1, -2, 0.5, 0, 0] + rng.normal(size=800) > 0).astype(float)
+    net = quality.Network(x, y, rounds=60)
+    by_hand = [sum(np.tanh(sum((row[i] - net.mean[i]) / net.scale[i] * net.w[0][i, k] for i in range(5)) + net.w[1][k]) * net.w[2][k] for k in range(32)) + net.w[3][0] for row in x[:20]]
+    assert np.allclose(net.logits(x[:20]), by_hand) and np.allclose(net(x[:20]), [1 / (1 + np.exp(-z / net.temperature)) for z in by_hand])
+    held = np.random.default_rng(11).permutation(800)[:160]
+
+    def loss(t):
+        return float(np.mean([np.log1p(np.exp(-(2 * y[i] - 1) * z / t)) for i, z in zip(held, net.logits(x[held]), strict=True)]))
+
+    assert all(loss(net.temperature) <= loss(t) + 1e-12 for t in np.geomspace(0.25, 8, 81)) and loss(net.temperature) <= loss(1.0)
+    assert ((net(x) > 0.5) == (y > 0.5)).mean() > 0.75
+
+
+def test_quality_of_ids_that_recur(spark):
+    """Very many rows of one id count as one labelled row, and none of the others is lost to them."""
+    rows = [(i, "the tree and the river " * 5 if i % 2 else "### $$ " * 9) for i in range(300)] + [(7, "the tree again")] * 500
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    got = quality.classify(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(got) == 800 and all(r.predicted == r.doc_id % 2 for r in got)
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     assert {r.score for r in quality.classify(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()} == {0.5}
