@@ -101,15 +101,9 @@ class Document:
         if isinstance(key, int):
             r = self._elements(obj, heads).where(F.col("idx") == key).first()
             return None if r is None else _python(r)
-        r = maps.winners(visibility.of_key(self._live(obj, heads), key)).first()
-        if r is None:
-            return None
-        if r.action == S.INCREMENT or r.value.tag == S.COUNTER:
-            ops, clock = self._seen(heads)
-            seen = visibility.of_key(visibility.of_object(ops if clock is None else visibility.covered(ops, clock), *_id(obj)), key)
-            c = maps.counters(seen).orderBy(F.desc("op_ctr"), F.desc("op_actor")).first()
-            return None if c is None else c.total
-        return _python(r)
+        ops, clock = self._seen(heads)
+        r = maps.values(visibility.of_key(visibility.of_object(ops, *_id(obj)), key), clock).first()
+        return None if r is None else _python(r)
 
     def keys(self, obj: str = ROOT, heads: list[bytes] | None = None) -> list[str]:
         return sorted((r.map_key for r in maps.keys(self._live(obj, heads)).collect()), key=str.encode)
@@ -123,7 +117,8 @@ class Document:
         return r.text if r else ""
 
     def map_range(self, obj: str = ROOT, heads: list[bytes] | None = None) -> list[tuple]:
-        return sorted(((r.map_key, _python(r)) for r in maps.winners(self._live(obj, heads)).collect()), key=lambda x: x[0].encode())
+        ops, clock = self._seen(heads)
+        return sorted(((r.map_key, _python(r)) for r in maps.values(visibility.of_object(ops, *_id(obj)), clock).collect()), key=lambda x: x[0].encode())
 
     def list_items(self, obj: str, heads: list[bytes] | None = None) -> list:
         return [_python(r) for r in self._elements(obj, heads).orderBy("idx").collect()]

@@ -6,21 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schema import OBJ
+from ..schema import INCREMENT, OBJ
 from . import maps, sequence
 from .sequence import ELEMENT, SEQ
-from .visibility import is_make, value_equal, visible_at
+from .visibility import flagged, is_make, value_equal, visible_at
 
 
 def diff_maps(ops: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """(doc_id, obj_*, map_key, patch, value, op_ctr, op_actor): putMap for keys that are new or hold another value or object, deleteMap
     for those that are gone."""
-    a, b = (maps.winners(visible_at(ops, c)) for c in (old, new))
-    # one row for each key and side, so that null objects need no special join
-    rows = a.select(*maps.KEY, F.lit(0).alias("side"), "op_ctr", "op_actor", "action", "value").unionByName(b.select(*maps.KEY, F.lit(1).alias("side"), "op_ctr", "op_actor", "action", "value"))
-    held = F.struct("op_ctr", "op_actor", "action", "value")
-    both = rows.groupBy(*maps.KEY).agg(F.max(F.when(F.col("side") == 0, held)).alias("a"), F.max(F.when(F.col("side") == 1, held)).alias("b"))
-    same_id = F.col("a.op_ctr").eqNullSafe(F.col("b.op_ctr")) & F.col("a.op_actor").eqNullSafe(F.col("b.op_actor"))
+    # both sides in one pass over the log
+    both = maps.won(flagged(ops, old, new).where("map_key is not null"), ops.columns, 0, 1).withColumnsRenamed({"w_0": "a", "w_1": "b"}).where("a is not null or b is not null")
+    same_id = F.col("a.op_ctr").eqNullSafe(F.col("b.op_ctr")) & F.col("a.op_actor").eqNullSafe(F.col("b.op_actor")) & (F.col("b.action") != INCREMENT)
     same_value = (F.col("a.action") == F.col("b.action")) & value_equal(F.col("a.value"), F.col("b.value")) & ~is_make(F.col("b.action"))
     patch = F.when(F.col("b").isNull(), "deleteMap").when(F.col("a").isNull() | ~(same_id | same_value), "putMap")
     return both.withColumn("patch", patch).where("patch is not null").select(*maps.KEY, "patch", F.col("b.value").alias("value"), F.col("b.op_ctr").alias("op_ctr"), F.col("b.op_actor").alias("op_actor"))

@@ -92,7 +92,8 @@ def ancestors(changes: DataFrame, heads: DataFrame, stop: DataFrame | None = Non
 
 
 def get_at(ops: DataFrame, clock: DataFrame) -> DataFrame:
-    return maps.winners(visible_at(ops, clock))
+    """The winners at a clock, counters as totals."""
+    return maps.values(ops, clock)
 
 
 def get_all_at(ops: DataFrame, clock: DataFrame) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schema import COUNTER, INCREMENT, OBJ, SET, op_id
-from .visibility import ID, is_make, visible
+from ..functions.groups import split, whole_groups
+from ..functions.ship import ship
+from ..schema import COUNTER, INCREMENT, OBJ, SET, op_id, scalar
+from .visibility import ID, flagged, is_make
 
 KEY = ["doc_id", *OBJ, "map_key"]
 
@@ -28,6 +33,24 @@ def winners(live: DataFrame) -> DataFrame:
     return best.select(*KEY, *[F.col(f"w.{c}").alias(c) for c in rest]).select(*live.columns)
 
 
+def values(ops: DataFrame, clock: DataFrame | None = None) -> DataFrame:
+    """The winner of each map key, now or at a clock; where it is an increment, ``value`` is the counter's total.
+
+    The total adds up the key's counters and increments (of those that the clock covers), as ``key_sums`` does.
+    """
+    rows = flagged(ops) if clock is None else flagged(ops, clock)
+    return won(rows.where("map_key is not null"), ops.columns, 0).where("w_0 is not null").select(*KEY, F.col("w_0.*")).select(*ops.columns)
+
+
+def won(rows: DataFrame, columns: list[str], *clocks: int) -> DataFrame:
+    """Per key the winner (a struct, null if there is none) at each of the clocks of ``flagged``."""
+    rest = [c for c in columns if c not in KEY]
+    amount = F.when((F.col("action") == INCREMENT) | (F.col("value.tag") == COUNTER), F.col("value.l"))
+    best = rows.groupBy(*KEY).agg(*[F.max_by(F.struct(*rest), F.when(F.col(f"live_{k}"), op_id())).alias(f"w_{k}") for k in clocks], *[F.coalesce(F.sum(F.when(F.col(f"seen_{k}"), amount)), F.lit(0)).alias(f"t_{k}") for k in clocks])
+    folded = [F.when(F.col(f"w_{k}").isNotNull(), F.col(f"w_{k}").withField("value", F.when(F.col(f"w_{k}.action") == INCREMENT, scalar(COUNTER, l=F.col(f"t_{k}"))).otherwise(F.col(f"w_{k}.value")))).alias(f"w_{k}") for k in clocks]
+    return best.select(*KEY, *folded)
+
+
 def conflicts(live: DataFrame) -> DataFrame:
     """Keys with more than one live op, and how many."""
     return live.where("map_key is not null").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -51,47 +74,72 @@ def key_sums(ops: DataFrame) -> DataFrame:
 def counters(ops: DataFrame) -> DataFrame:
     """Live counters, each with its own total: the value it was set to and the increments that descend from it.
 
-    An increment belongs to every counter that its chain of predecessors reaches.  Chains are followed by doubling: after k rounds
-    an increment knows its ancestors 2**k steps back, so long chains take few rounds.
+    An increment belongs to every counter that its chain of predecessors reaches.  The counters and increments of one key are walked in one
+    task, in order of their ids, which predecessors precede; an op that names a later one as its predecessor belongs to nothing.
     """
-    base = ops.where((F.col("action") == SET) & (F.col("value.tag") == COUNTER)).select(*ID, F.col("value.l").alias("start"))
-    inc = ops.where(F.col("action") == INCREMENT)
-    reach = inc.select("doc_id", op_id().alias("op"), F.col("value.l").alias("by"), F.explode("pred").alias("at"))
-    steps = inc.select("doc_id", op_id().alias("at"), F.explode("pred").alias("to"))
-    while True:
-        on = reach.join(steps, ["doc_id", "at"], "left")
-        if on.where("to is not null").limit(1).count() == 0:
-            break
-        reach = on.select("doc_id", "op", "by", F.coalesce("to", "at").alias("at")).distinct()
-        hop = steps.alias("a").join(steps.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.to") == F.col("b.at")), "left")
-        steps = hop.select(F.col("a.doc_id").alias("doc_id"), F.col("a.at").alias("at"), F.coalesce("b.to", "a.to").alias("to")).distinct()
-    added = reach.select("doc_id", F.col("at.ctr").alias("op_ctr"), F.col("at.actor").alias("op_actor"), "op", "by").distinct().groupBy(*ID).agg(F.sum("by").alias("added"))
-    gone = ops.where(F.col("action") != INCREMENT)
-    from .visibility import succ_edges
-
-    live = base.join(succ_edges(gone).select(*ID), ID, "left_anti")
-    return live.join(added, ID, "left").join(ops.select(*ID, *OBJ, "map_key"), ID).select(*ID, *OBJ, "map_key", (F.col("start") + F.coalesce("added", F.lit(0))).alias("total"))
-
-
-def parents(ops: DataFrame, elements: DataFrame | None = None, most: int = 1000) -> DataFrame:
+    ship(ops.sparkSession)
+    own = ops.where(F.col("map_key").isNotNull() & ((F.col("action") == INCREMENT) | (F.col("value.tag") == COUNTER) | (F.size("pred") > 0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, KEY):
+            out = []
+            for group in split(rows, KEY):
+                of: dict[tuple, frozenset] = {}
+                total: dict[tuple, int] = {}
+                gone: set[tuple] = set()
+                for r in sorted(group, key=lambda r: (r["op_ctr"], r["op_actor"])):
+                    me, before = (r["op_ctr"], r["op_actor"]), [(p["ctr"], p["actor"]) for p in r["pred"] or []]
+                    if r["action"] == INCREMENT:
+                        of[me] = frozenset().union(*(of.get(p, ()) for p in before))
+                        for c in of[me]:
+                            total[c] += r["by"] or 0
+                        continue
+                    gone.update(c for p in before for c in of.get(p, ()))
+                    if r["counter"]:
+                        of[me], total[me] = frozenset([me]), r["by"] or 0
+                out += [(group[0]["doc_id"], *c, group[0]["obj_ctr"], group[0]["obj_actor"], group[0]["map_key"], n) for c, n in total.items() if c not in gone]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], [*ID, *OBJ, "map_key", "total"])
+
+    rows = own.select(*KEY, "op_ctr", "op_actor", "action", "pred", ((F.col("action") == SET) & (F.col("value.tag") == COUNTER)).alias("counter"), F.col("value.l").alias("by"))
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, "doc_id bigint, op_ctr bigint, op_actor binary, obj_ctr bigint, obj_actor binary, map_key string, total bigint")
+
+
+def parents(ops: DataFrame, elements: DataFrame | None = None) -> DataFrame:
     """(doc_id, obj_ctr, obj_actor, depth, at_ctr, at_actor, map_key, idx): the steps from each object up to the root.
 
-    depth 0 is the object's own place; ``elements`` (see ``sequence``) gives the index of members of sequences.  Goes up a level of all
-    objects at a time, at most ``most`` levels.
+    depth 0 is the object's own place; ``elements`` (see ``sequence``) gives the index of members of sequences.  The make ops of a document,
+    a small part of its log, meet in one task, and paths of any depth are followed there; many documents share a step.
     """
+    ship(ops.sparkSession)
     made = ops.where(is_make(F.col("action"))).select(
-        "doc_id", F.col("op_ctr").alias("c_ctr"), F.col("op_actor").alias("c_actor"), F.col("obj_ctr").alias("at_ctr"), F.col("obj_actor").alias("at_actor"), "map_key",
+        "doc_id", "op_ctr", "op_actor", *OBJ, "map_key",
         F.when(F.col("insert"), F.col("op_ctr")).otherwise(F.col("elem_ctr")).alias("e_ctr"), F.when(F.col("insert"), F.col("op_actor")).otherwise(F.col("elem_actor")).alias("e_actor"),
     )
-    level = made.select("doc_id", F.col("c_ctr").alias("obj_ctr"), F.col("c_actor").alias("obj_actor"), F.lit(0).alias("depth"), "at_ctr", "at_actor", "map_key", "e_ctr", "e_actor")
-    out, depth = level, 0
-    while depth < most:
-        depth += 1
-        up = level.where("at_ctr is not null").select("doc_id", "obj_ctr", "obj_actor", F.col("at_ctr").alias("c_ctr"), F.col("at_actor").alias("c_actor"))
-        level = up.join(made, ["doc_id", "c_ctr", "c_actor"]).select("doc_id", "obj_ctr", "obj_actor", F.lit(depth).alias("depth"), "at_ctr", "at_actor", "map_key", "e_ctr", "e_actor")
-        if level.limit(1).count() == 0:
-            break
-        out = out.unionByName(level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "obj_ctr", "obj_actor", "depth", "at_ctr", "at_actor", "map_key", "e_ctr", "e_actor"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.binary()]
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
+
+        for rows in whole_groups(batches, ["doc_id"]):
+            out = []
+            for group in split(rows, ["doc_id"]):
+                place = {(r["op_ctr"], r["op_actor"]): r for r in group}
+                for own in place:
+                    at, depth, met = own, 0, set()
+                    while (r := place.get(at)) is not None and at not in met:
+                        met.add(at)
+                        out.append((r["doc_id"], *own, depth, r["obj_ctr"], r["obj_actor"], r["map_key"], r["e_ctr"], r["e_actor"]))
+                        at, depth = (r["obj_ctr"], r["obj_actor"]), depth + 1
+                    if len(out) > 1 << 16:
+                        yield batch(out)
+                        out = []
+            yield batch(out)
+
+    out = made.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "doc_id bigint, obj_ctr bigint, obj_actor binary, depth int, at_ctr bigint, at_actor binary, map_key string, e_ctr bigint, e_actor binary")
     if elements is None:
         return out.withColumn("idx", F.lit(None).cast("long")).drop("e_ctr", "e_actor")
     place = elements.select("doc_id", F.col("elem_ctr").alias("e_ctr"), F.col("elem_actor").alias("e_actor"), "idx")
@@ -99,5 +147,5 @@ def parents(ops: DataFrame, elements: DataFrame | None = None, most: int = 1000)
 
 
 def map_range(ops: DataFrame) -> DataFrame:
-    """Winners in key order."""
-    return winners(visible(ops)).orderBy("doc_id", *[F.asc_nulls_first(c) for c in OBJ], "map_key")
+    """Winners in key order, counters as totals."""
+    return values(ops).orderBy("doc_id", *[F.asc_nulls_first(c) for c in OBJ], "map_key")

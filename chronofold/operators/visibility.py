@@ -17,6 +17,34 @@ def succ_edges(ops: DataFrame) -> DataFrame:
 ID = ["doc_id", "op_ctr", "op_actor"]
 
 
+def flagged(ops: DataFrame, *clocks: DataFrame) -> DataFrame:
+    """Ops with ``seen_0`` and ``live_0``, ``seen_1``...: whether each clock covers it, and whether it is visible then; without clocks, now.
+
+    One pass: every op sends itself and the ids that it overwrites to where those ops are, so that the log is read once and shuffled once,
+    however many clocks there are.  Ops that no clock covers are left out.
+    """
+    if clocks:
+        each = None
+        for k, clock in enumerate(clocks):
+            part = clock.select("doc_id", F.col("actor").alias("op_actor"), F.lit(k).alias("k"), "max_ctr")
+            each = part if each is None else each.unionByName(part)
+        wide = each.groupBy("doc_id", "op_actor").agg(*[F.max(F.when(F.col("k") == k, F.col("max_ctr"))).alias(f"m_{k}") for k in range(len(clocks))])
+        seen = [F.coalesce(F.col("op_ctr") <= F.col(f"m_{k}"), F.lit(False)) for k in range(len(clocks))]
+        rows = ops.join(wide, ["doc_id", "op_actor"]).where(F.col("op_ctr") <= F.greatest(*[f"m_{k}" for k in range(len(clocks))]) if len(clocks) > 1 else seen[0])
+    else:
+        seen, rows = [F.lit(True)], ops
+    rest = [c for c in ops.columns if c not in ID]
+    kind = f"struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in ops.schema if f.name in rest)}>"
+    no = F.lit(None).cast("boolean")
+    own = F.struct(F.col("op_ctr").alias("ctr"), F.col("op_actor").alias("actor"), F.struct(*rest).alias("op"), *[x.alias(f"s_{k}") for k, x in enumerate(seen)], *[no.alias(f"d_{k}") for k in range(len(seen))])
+    over = lambda p: F.struct(p["ctr"].alias("ctr"), p["actor"].alias("actor"), F.lit(None).cast(kind).alias("op"), *[no.alias(f"s_{k}") for k in range(len(seen))], *[x.alias(f"d_{k}") for k, x in enumerate(seen)])
+    sent = rows.select("doc_id", F.inline(F.concat(F.array(own), F.transform("pred", over))))
+    met = sent.groupBy("doc_id", "ctr", "actor").agg(F.first("op", ignorenulls=True).alias("op"), *[F.max(c).alias(c) for k in range(len(seen)) for c in (f"s_{k}", f"d_{k}")]).where("op is not null")
+    live = [(F.col(f"s_{k}") & ~F.coalesce(F.col(f"d_{k}"), F.lit(False)) & (F.col("op.action") != DELETE)).alias(f"live_{k}") for k in range(len(seen))]
+    named = {"op_ctr": F.col("ctr"), "op_actor": F.col("actor"), "doc_id": F.col("doc_id")}
+    return met.select(*[named.get(c, F.col("op").getField(c)).alias(c) for c in ops.columns], *[F.col(f"s_{k}").alias(f"seen_{k}") for k in range(len(seen))], *live)
+
+
 def visible(ops: DataFrame) -> DataFrame:
     """Ops that nothing overwrites and that are no deletions."""
     return ops.where(F.col("action") != DELETE).join(succ_edges(ops).select(*ID), ID, "left_anti")

@@ -195,8 +195,30 @@ def value_string(s, d):
 # maps
 
 
-@query(f"SELECT {OP_SQL}, {VALUE_SQL} FROM {winner_sql('live')}")
+def totals_sql(limits=None) -> str:
+    """What increments of each key add up to, at a clock or now."""
+    covered = f"ops o JOIN {limit_sql(limits)} ON o.actor = clock.actor AND o.ctr <= mx" if limits else "ops o"
+    return f"(SELECT o.doc_id, o.map_key, CAST(coalesce(sum(floor(o.value)), 0) AS BIGINT) AS total FROM {covered} WHERE o.action = 5 GROUP BY o.doc_id, o.map_key)"
+
+
+def folded_sql(source: str, limits=None, more: str = "") -> str:
+    return f"SELECT w.doc_id, w.ctr AS op_ctr, w.actor AS op_actor, w.map_key, CASE WHEN w.action = 1 THEN w.value END AS value, CASE WHEN w.action = 5 THEN t.total END AS total{more} FROM {winner_sql(source)} w LEFT JOIN {totals_sql(limits)} t ON w.doc_id = t.doc_id AND w.map_key = t.map_key"
+
+
+def folded_columns() -> list:
+    return [*op_columns(), F.col("value.d").alias("value"), F.when(F.col("value.tag") == 8, F.col("value.l")).alias("total")]
+
+
+PLACE_SQL = ", CAST(row_number() OVER (PARTITION BY w.doc_id ORDER BY w.map_key) - 1 AS BIGINT) AS place"
+
+
+@query(folded_sql("live"))
 def get_winner(s, d):
+    return maps.values(bridge.map_ops(s, d)).select(*folded_columns())
+
+
+@query(f"SELECT {OP_SQL}, {VALUE_SQL} FROM {winner_sql('live')}")
+def winning_ops(s, d):
     return maps.winners(live_maps(s, d)).select(*op_columns(), F.col("value.d").alias("value"))
 
 
@@ -220,11 +242,11 @@ def length_map(s, d):
     return maps.lengths(live_maps(s, d)).select("doc_id", "length")
 
 
-@query(f"SELECT {OP_SQL}, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY map_key) - 1 AS BIGINT) AS place FROM {winner_sql('live')}")
+@query(folded_sql("live", more=PLACE_SQL))
 def map_range(s, d):
     from pyspark.sql import Window as W
 
-    return maps.map_range(bridge.map_ops(s, d)).select(*op_columns(), (F.row_number().over(W.partitionBy("doc_id").orderBy("map_key")) - 1).cast("long").alias("place"))
+    return maps.map_range(bridge.map_ops(s, d)).select(*folded_columns(), (F.row_number().over(W.partitionBy("doc_id").orderBy("map_key")) - 1).cast("long").alias("place"))
 
 
 @query("SELECT doc_id, map_key, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total FROM ops WHERE action = 5 GROUP BY doc_id, map_key HAVING sum(floor(value)) IS NOT NULL")
@@ -240,9 +262,9 @@ def parents(s, d):
 # history
 
 
-@query(f"WITH {at_sql(EARLY)} SELECT {OP_SQL}, {VALUE_SQL} FROM {winner_sql('seen')}")
+@query(f"WITH {at_sql(EARLY)} {folded_sql('seen', EARLY)}")
 def get_at(s, d):
-    return history.get_at(*seen_maps(s, d)).select(*op_columns(), F.col("value.d").alias("value"))
+    return history.get_at(*seen_maps(s, d)).select(*folded_columns())
 
 
 @query(f"WITH {at_sql(EARLY)} SELECT {OP_SQL}, CAST(row_number() OVER (PARTITION BY doc_id, map_key ORDER BY ctr DESC, actor DESC) - 1 AS BIGINT) AS rank FROM seen")
@@ -260,11 +282,11 @@ def length_at(s, d):
     return history.length_at(*seen_maps(s, d)).select("doc_id", "length")
 
 
-@query(f"WITH {at_sql(EARLY)} SELECT {OP_SQL}, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY map_key) - 1 AS BIGINT) AS place FROM {winner_sql('seen')}")
+@query(f"WITH {at_sql(EARLY)} {folded_sql('seen', EARLY, PLACE_SQL)}")
 def map_range_at(s, d):
     from pyspark.sql import Window as W
 
-    return history.get_at(*seen_maps(s, d)).select(*op_columns(), (F.row_number().over(W.partitionBy("doc_id").orderBy("map_key")) - 1).cast("long").alias("place"))
+    return history.get_at(*seen_maps(s, d)).select(*folded_columns(), (F.row_number().over(W.partitionBy("doc_id").orderBy("map_key")) - 1).cast("long").alias("place"))
 
 
 HASH_SQL = "sha256({0}doc_id || ':' || {0}actor || ':' || {0}seq)"
@@ -450,12 +472,13 @@ def mark_set(s, d):
 
 # differences
 
-DIFF_SQL = f"""{at_sql(EARLY, 'seen')}, {at_sql(LATE, 'later')}, a AS {winner_sql('seen')}, b AS {winner_sql('later')}"""
+TOTAL = "(SELECT w.*, t.total FROM {0} w LEFT JOIN {1} t ON w.doc_id = t.doc_id AND w.map_key = t.map_key)"
+DIFF_SQL = f"""{at_sql(EARLY, 'seen')}, {at_sql(LATE, 'later')}, a AS {TOTAL.format(winner_sql('seen'), totals_sql(EARLY))}, b AS {TOTAL.format(winner_sql('later'), totals_sql(LATE))}"""
 
 
 @query(f"""WITH {DIFF_SQL} SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.map_key, b.map_key) AS map_key, CASE WHEN b.ctr IS NULL THEN 'deleteMap' ELSE 'putMap' END AS patch, b.ctr AS op_ctr
 FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id AND a.map_key = b.map_key
-WHERE a.ctr IS NULL OR b.ctr IS NULL OR NOT ((a.ctr = b.ctr AND a.actor = b.actor) OR (a.action = b.action AND (CASE WHEN a.action = 5 THEN floor(a.value) ELSE a.value END) IS NOT DISTINCT FROM (CASE WHEN b.action = 5 THEN floor(b.value) ELSE b.value END)))""")
+WHERE a.ctr IS NULL OR b.ctr IS NULL OR NOT ((a.ctr = b.ctr AND a.actor = b.actor AND b.action <> 5) OR (a.action = b.action AND (CASE WHEN a.action = 5 THEN a.total ELSE a.value END) IS NOT DISTINCT FROM (CASE WHEN b.action = 5 THEN b.total ELSE b.value END)))""")
 def diff_map(s, d):
     ops = bridge.map_ops(s, d)
     return df_.diff_maps(ops, bridge.clock(ops, EARLY), bridge.clock(ops, LATE)).select("doc_id", "map_key", "patch", "op_ctr")
@@ -502,13 +525,14 @@ def merge_new_ops(s, d):
 @query(f"WITH {HEADS_SQL} SELECT doc_id, {HASH_SQL.format('')} AS hash FROM heads")
 def merge_heads(s, d):
     c = bridge.changes(s, d)
-    return merge.merge_heads(c.where("seq % 2 = 0"), c.where("seq % 3 <> 0"), c).select("doc_id", hx("hash").alias("hash"))
+    return merge.merge_heads(c.where("seq % 2 = 0"), c.where("seq % 2 = 1 or seq % 3 = 0")).select("doc_id", hx("hash").alias("hash"))
 
 
-@query(f"SELECT doc_id, {HASH_SQL.format('')} AS hash FROM changes WHERE seq % 2 = 0 OR seq % 3 = 0")
+@query(f"SELECT doc_id, {HASH_SQL.format('')} AS hash FROM changes")
 def merge_changes(s, d):
+    """Two replicas that together hold every change, and both hold every sixth."""
     c = bridge.changes(s, d)
-    return merge.merge_changes(c.where("seq % 2 = 0"), c.where("seq % 3 = 0")).select("doc_id", hx("hash").alias("hash"))
+    return merge.merge_changes(c.where("seq % 2 = 0 or seq % 3 = 1"), c.where("seq % 2 = 1")).select("doc_id", hx("hash").alias("hash"))
 
 
 @query("SELECT doc_id + 1000000 AS doc_id, count(*) AS n_ops, max(ctr) AS max_op FROM ops GROUP BY doc_id")
@@ -675,8 +699,8 @@ def me():
 def commands(ops, *more):
     """Two commands for each document, on k1 and k2 of the root."""
     pair = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("map_key")) for n, k in enumerate(("k1", "k2"))]))
-    c = ops.select("doc_id").distinct().select("doc_id", pair.alias("c")).select("doc_id", "c.*")
-    return c.select("*", F.lit(None).cast("long").alias("obj_ctr"), F.lit(None).cast("binary").alias("obj_actor"), me().alias("actor"), *more)
+    c = ops.select("doc_id").distinct().select("doc_id", pair.alias("c")).select("doc_id", "c", "c.*")
+    return c.select("doc_id", "n", "map_key", F.lit(None).cast("long").alias("obj_ctr"), F.lit(None).cast("binary").alias("obj_actor"), me().alias("actor"), *more)
 
 
 EDIT_SQL = "tops AS (SELECT doc_id, max(ctr) AS top FROM ops GROUP BY doc_id), held AS (SELECT doc_id, map_key, count(*) AS n_pred FROM live GROUP BY doc_id, map_key), cmd AS (SELECT doc_id, top, unnest([0, 1]) AS n, unnest(['k1', 'k2']) AS map_key FROM tops)"
@@ -741,10 +765,42 @@ def splice(s, d):
     return mutations.splice(ops, text_command(ops, F.lit(1).cast("long").alias("pos"), F.lit(1).alias("del"), values.alias("values"))).select(*new_elements())
 
 
-@query(SPLICE_SQL.format(a="'é'", b="'😀'"))
+#: Two commands on each text: the second, at 0, comes after the first, at 1, which it has nothing to do with.
+TWO_SQL = f"""WITH {TOP_TEXT}, first AS (SELECT e.doc_id, top FROM elements e JOIN tops t ON e.doc_id = t.doc_id WHERE idx = 1), second AS (SELECT t.doc_id, top + CASE WHEN f.top IS NULL THEN 0 ELSE 3 END AS top FROM tops t SEMI JOIN (SELECT doc_id FROM elements) e ON e.doc_id = t.doc_id LEFT JOIN first f USING (doc_id, top))
+SELECT f.doc_id, top + 1 AS op_ctr, e.elem_ctr, FALSE AS insert, 3 AS action, NULL AS value FROM first f JOIN elements e ON e.doc_id = f.doc_id AND e.idx = 1
+UNION ALL SELECT f.doc_id, top + 2, e.elem_ctr, TRUE, 1, 'é' FROM first f JOIN elements e ON e.doc_id = f.doc_id AND e.idx = 0
+UNION ALL SELECT f.doc_id, top + 3, top + 2, TRUE, 1, '😀' FROM first f
+UNION ALL SELECT s.doc_id, top + 1, e.elem_ctr, FALSE, 3, NULL FROM second s JOIN elements e ON e.doc_id = s.doc_id AND e.idx = 0
+UNION ALL SELECT s.doc_id, top + 2, NULL, TRUE, 1, 'x' FROM second s
+UNION ALL SELECT s.doc_id, top + 3, top + 2, TRUE, 1, 'y' FROM second s"""
+
+
+@query(TWO_SQL)
 def splice_text(s, d):
     ops = bridge.text_ops(s, d)
-    return mutations.splice_text(ops, text_command(ops, F.lit(1).cast("long").alias("pos"), F.lit(1).alias("del"), F.lit("é😀").alias("text"))).select(*new_elements())
+    both = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).cast("long").alias("pos"), F.lit(1).alias("del"), F.lit(t).alias("text")) for n, p, t in ((0, 1, "é😀"), (1, 0, "xy"))]))
+    return mutations.splice_text(ops, text_command(ops, both.alias("c")).select("*", "c.*").drop("c")).select(*new_elements())
+
+
+@query(f"WITH {TOP_TEXT} SELECT t.doc_id, top + 1 AS op_ctr, e.elem_ctr, TRUE AS insert, 2 AS action, NULL AS value FROM tops t JOIN elements e ON e.doc_id = t.doc_id AND e.idx = 0")
+def insert_object(s, d):
+    ops = bridge.text_ops(s, d)
+    return mutations.insert_object(ops, text_command(ops, F.lit(1).cast("long").alias("idx"), F.lit(2).alias("action"))).select(*new_elements())
+
+
+NESTED = '[{"a": [true, "z"]}, {"$": "text", "value": "hé"}, {"$": "counter", "value": 5}]'
+#: The op rows of NESTED after one deletion: (offset, offset of the object or 0 for the text, key, offset of the reference or 0 for the element before, insert, action).
+NESTED_ROWS = "(2, 0, NULL, 0, TRUE, 0), (3, 2, 'a', -1, FALSE, 2), (4, 3, NULL, -1, TRUE, 1), (5, 3, NULL, 4, TRUE, 1), (6, 0, NULL, 2, TRUE, 4), (7, 6, NULL, -1, TRUE, 1), (8, 6, NULL, 7, TRUE, 1), (9, 0, NULL, 6, TRUE, 1)"
+
+
+@query(f"""WITH {TOP_TEXT}, ok AS (SELECT e.doc_id, top FROM elements e JOIN tops t ON e.doc_id = t.doc_id WHERE idx = 1)
+SELECT ok.doc_id, top + o AS op_ctr, CASE WHEN p > 0 THEN top + p ELSE 2 END AS obj_ctr, k AS map_key, CASE WHEN r > 0 THEN top + r WHEN r = 0 THEN e.elem_ctr END AS elem_ctr, i AS insert, a AS action
+FROM ok JOIN elements e ON e.doc_id = ok.doc_id AND e.idx = 0, (VALUES {NESTED_ROWS}) AS t(o, p, k, r, i, a)
+UNION ALL SELECT ok.doc_id, top + 1, 2, NULL, e.elem_ctr, FALSE, 3 FROM ok JOIN elements e ON e.doc_id = ok.doc_id AND e.idx = 1""")
+def splice_values(s, d):
+    ops = bridge.text_ops(s, d)
+    c = text_command(ops, F.lit(1).cast("long").alias("pos"), F.lit(1).alias("del"), F.lit(NESTED).alias("trees"))
+    return mutations.splice_trees(ops, c).select("doc_id", "op_ctr", "obj_ctr", "map_key", "elem_ctr", "insert", F.col("action").cast("int").alias("action"))
 
 
 @query(f"WITH {TOP_TEXT}, ok AS (SELECT e.doc_id, top FROM elements e JOIN tops t ON e.doc_id = t.doc_id WHERE idx = 1) SELECT ok.doc_id, top + 1 AS op_ctr, e.elem_ctr, 'em' AS mark_name FROM ok JOIN elements e ON e.doc_id = ok.doc_id AND e.idx = 0 UNION ALL SELECT ok.doc_id, top + 2, e.elem_ctr, NULL FROM ok JOIN elements e ON e.doc_id = ok.doc_id AND e.idx = 1")
@@ -754,16 +810,17 @@ def mark(s, d):
     return mutations.mark(ops, c).select("doc_id", "op_ctr", "elem_ctr", "mark_name")
 
 
-TREE = '{"b": [1, {"x": "y"}, null], "a": 2.5, "c": {}}'
-#: The op rows of TREE, breadth first: (offset, offset of the object, key, offset of the reference, insert, action).
-TREE_ROWS = "(1, 0, 'tree', 0, FALSE, 0), (2, 1, 'a', 0, FALSE, 1), (3, 1, 'b', 0, FALSE, 2), (4, 1, 'c', 0, FALSE, 0), (5, 3, NULL, 0, TRUE, 1), (6, 3, NULL, 5, TRUE, 0), (7, 3, NULL, 6, TRUE, 1), (8, 6, 'x', 0, FALSE, 1)"
+TREE = '{"b": [1, {"x": "y"}, null], "a": 2.5, "c": {}, "t": {"$": "text", "value": "é!"}}'
+#: The op rows of TREE, breadth first, and of a counter set at the same key: (offset, offset of the object, key, offset of the reference, insert, action, offset of what it overwrites).
+TREE_ROWS = "(1, 0, 'tree', 0, FALSE, 0, 0), (2, 1, 'a', 0, FALSE, 1, 0), (3, 1, 'b', 0, FALSE, 2, 0), (4, 1, 'c', 0, FALSE, 0, 0), (5, 1, 't', 0, FALSE, 4, 0), (6, 3, NULL, 0, TRUE, 1, 0), (7, 3, NULL, 6, TRUE, 0, 0), (8, 3, NULL, 7, TRUE, 1, 0), (9, 5, NULL, 0, TRUE, 1, 0), (10, 5, NULL, 9, TRUE, 1, 0), (11, 7, 'x', 0, FALSE, 1, 0), (12, 0, 'tree', 0, FALSE, 1, 1)"
 
 
-@query(f"SELECT doc_id, top + o AS op_ctr, CASE WHEN p > 0 THEN top + p END AS obj_ctr, k AS map_key, CASE WHEN r > 0 THEN top + r END AS elem_ctr, i AS insert, a AS action FROM (SELECT doc_id, max(ctr) AS top FROM ops GROUP BY doc_id), (VALUES {TREE_ROWS}) AS t(o, p, k, r, i, a)")
+@query(f"SELECT doc_id, top + o AS op_ctr, CASE WHEN p > 0 THEN top + p END AS obj_ctr, k AS map_key, CASE WHEN r > 0 THEN top + r END AS elem_ctr, i AS insert, a AS action, CASE WHEN o2 > 0 THEN top + o2 END AS pred_ctr FROM (SELECT doc_id, max(ctr) AS top FROM ops GROUP BY doc_id), (VALUES {TREE_ROWS}) AS t(o, p, k, r, i, a, o2)")
 def batch_create(s, d):
+    """A tree at a key, and then a counter at the same key."""
     ops = bridge.map_ops(s, d)
-    c = commands(ops, F.lit(TREE).alias("tree")).where("n = 0").withColumn("map_key", F.lit("tree"))
-    return mutations.create_trees(ops, c).select("doc_id", "op_ctr", "obj_ctr", "map_key", "elem_ctr", "insert", F.col("action").cast("int").alias("action"))
+    c = commands(ops, F.when(F.col("c.n") == 0, TREE).otherwise('{"$": "counter", "value": 7}').alias("tree")).withColumn("map_key", F.lit("tree"))
+    return mutations.create_trees(ops, c).select("doc_id", "op_ctr", "obj_ctr", "map_key", "elem_ctr", "insert", F.col("action").cast("int").alias("action"), F.try_element_at("pred", F.lit(1))["ctr"].alias("pred_ctr"))
 
 
 @query(f"WITH {EDIT_SQL} SELECT c.doc_id, top + n + 1 AS op_ctr, c.map_key, coalesce(n_pred, 0) AS n_pred FROM cmd c LEFT JOIN held h ON c.doc_id = h.doc_id AND c.map_key = h.map_key")

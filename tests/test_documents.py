@@ -137,6 +137,58 @@ def test_list_fixture(spark):
     assert mutations.splice(df, command(spark, pos=F.lit(9).cast("long"), **{"del": 0}, values=mutations.text_values(F.lit("q")))).count() == 0
 
 
+def two(df, a, b):
+    """Two commands of one batch."""
+    return df.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).select("doc_id", "obj_ctr", "obj_actor", "actor", "n", *[F.when(F.col("n") == 0, F.lit(a[k])).otherwise(F.lit(b[k])).alias(k) for k in a])
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [((1, 0, "XX"), (4, 0, "YY"), "aXXbcdYYef"), ((4, 1, "YY"), (0, 2, "Q"), "QcdYYf"), ((2, 0, "1"), (2, 0, "2"), "ab21cdef"), ((1, 3, ""), (2, 3, "-"), "a-f"), ((0, 6, "new"), (9, 0, "x"), "new")])
+def test_two_splices_of_a_batch(spark, a, b, want):
+    """Places are those from before the batch."""
+    df = typed(spark, "abcdef")
+    c = two(command(spark), *[{"pos": p, "del": n, "text": t} for p, n, t in (a, b)]).withColumn("pos", F.col("pos").cast("long"))
+    new = mutations.splice_text(df, c)
+    assert read(grown(df, new)) == want
+    ids = [r.op_ctr for r in new.orderBy("op_ctr").collect()]
+    assert ids == list(range(8, 8 + len(ids)))
+    unnumbered = mutations.splice_text(df, c.drop("n"))
+    assert sorted(r.op_ctr for r in unnumbered.collect()) == ids
+
+
+def test_nested_values_in_lists(spark):
+    df = ops(spark, {"id": (1, A), "key": "list", "action": S.MAKE_LIST}, *chain("abc"))
+    trees = '[{"k": [1, {"$": "text", "value": "hé"}]}, 5, {"$": "map", "value": {"$": 1, "value": 2}}, {"$": "bytes", "value": "00ff"}, {"$": "uint", "value": 18446744073709551615}, {"$": "timestamp", "value": -3}]'
+    new = mutations.splice_trees(df, command(spark, pos=F.lit(1).cast("long"), **{"del": 1}, trees=trees))
+    df = grown(df, new)
+    rows = {(r.op_ctr, bytes(r.op_actor)): r for r in df.collect()}
+    items = [r for r in sequence.elements(df).orderBy("idx").collect() if (r.obj_ctr, bytes(r.obj_actor)) == LIST]
+    assert [(r.action, r.value.tag, r.value.l, r.value.u, r.value.b) for r in items[1:7]] == [(S.MAKE_MAP, 0, None, None, None), (S.SET, S.INT, 5, None, None), (S.MAKE_MAP, 0, None, None, None), (S.SET, S.BYTES, None, None, bytearray(b"\x00\xff")), (S.SET, S.UINT, None, 2**64 - 1, None), (S.SET, S.TIMESTAMP, -3, None, None)]
+    assert len(items) == 8 and items[0].value.s == "a" and items[7].value.s == "c"
+    assert sorted(r.map_key for r in rows.values() if r.map_key and r.obj_ctr == items[3].op_ctr) == ["$", "value"]
+    texts = [r.text for r in sequence.text(sequence.elements(df)).collect()]
+    assert "hé" in texts
+    made = grown(df, mutations.insert_object(df, command(spark, idx=F.lit(0).cast("long"), action=S.MAKE_TEXT)))
+    assert sequence.elements(made).where("obj_ctr = 1 and idx = 0").first().action == S.MAKE_TEXT
+
+
+def test_counters_in_winners(spark):
+    df = ops(spark, {"id": (1, A), "key": "n", "value": (S.COUNTER, 10)}, {"id": (2, A), "key": "n", "action": S.INCREMENT, "value": 5, "pred": [(1, A)]}, {"id": (2, B1), "key": "n", "action": S.INCREMENT, "value": -2, "pred": [(1, A)]},
+             {"id": (3, A), "key": "m", "value": (S.COUNTER, 1)}, {"id": (4, A), "key": "k", "action": S.INCREMENT, "value": 3, "pred": [(9, A)]}, {"id": (5, A), "key": "x", "value": 1}, {"id": (6, A), "key": "x", "action": S.DELETE, "pred": [(5, A)]})
+    shown = lambda df: {r.map_key: (r.kind, r.shown) for r in visibility.to_value(df).collect()}
+    assert shown(maps.values(df)) == {"n": ("counter", "13"), "m": ("counter", "1"), "k": ("counter", "3")}
+    assert shown(maps.values(df, clock(spark, (A, 2)))) == {"n": ("counter", "15")} and shown(history.get_at(df, clock(spark, (A, 1)))) == {"n": ("counter", "10")}
+    back = diff.diff_maps(df, clock(spark, (A, 2), (B1, 1)), clock(spark, (A, 2), (B1, 2))).collect()
+    assert [(r.map_key, r.patch, r.value.l) for r in back] == [("n", "putMap", 13)]
+    flags = visibility.flagged(df, clock(spark, (A, 5)), clock(spark, (A, 9)))
+    assert {(r.op_ctr, r.live_0, r.live_1) for r in flags.where("map_key = 'x'").collect()} == {(5, True, False), (6, False, False)}
+
+
+def test_deep_paths(spark):
+    df = ops(spark, *[{"id": (i, A), "obj": (i - 1, A) if i > 1 else None, "key": f"k{i}", "action": S.MAKE_MAP} for i in range(1, 1201)])
+    up = maps.parents(df).where("obj_ctr = 1200")
+    assert up.count() == 1200 and up.where("depth = 1199").first().map_key == "k1"
+
+
 def test_text_edits_count_code_points(spark):
     df = typed(spark, "Hello World")
     df = grown(df, mutations.splice_text(df, command(spark, pos=F.lit(5).cast("long"), **{"del": 6}, text=" Gö😀")))
