@@ -47,7 +47,7 @@ def test_contamination(spark):
     items = [(1, say(30)), (2, say(12)), (3, say(10)), (4, "lone  word"), (5, "Unique"), (6, ""), (7, None), (8, "!!"), (20, say(12)), (20, "Unique"), (9, say(9))]
     docs = [(i, say(rng.randrange(40))) for i in range(60)]
     docs += [(100 + k, say(5) + "! " + (t or "") + ", " + say(3)) for k, (_, t) in enumerate(items)]
-    docs += [(200, None), (201, ""), (202, items[0][1].upper()), (203, " ".join(items[0][1].split()[3:14])), (204, " ".join(items[0][1].split()[3:12])), (205, (items[1][1] + " ") * 2000), (206, "unique " * 3000), (207, "Lone Word")]
+    docs += [(200, None), (201, ""), (202, items[0][1].upper()), (203, " ".join(items[0][1].split()[3:14])), (204, " ".join(items[0][1].split()[3:12])), (205, (items[1][1] + " ") * 2000), (206, "unique " * 3000), (207, "Lone Word"), (208, "lone\x00word\x7f{unique}")]
     df = spark.createDataFrame([(i, t, -1, ["q"]) for i, t in docs], "doc_id long, text string, N_HIT int, items array<string>")
     got = decontam.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()
     want = brute_contamination(docs, items)
