@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .util import join_hot, shared
 
+#: Edges of a task, at least: few edges are not spread over all of the session's shuffle partitions.
+TASK_EDGES = 100_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -21,14 +24,17 @@ def components(edges: DataFrame) -> DataFrame:
     edges = shared(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)
     while state[0]:
+        tasks = 4 + state[0] // TASK_EDGES
+        edges = edges.coalesce(tasks)
         # large star: each larger neighbour of a node points at the least neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = shared(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
-        large = shared(join_hot(edges.select(F.col("v").alias("u"), F.col("u").alias("w")), least, "u", "n", 2 * state[0]).select(F.col("w").alias("u"), F.col("m").alias("v")).distinct())
+        least = shared(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")).coalesce(tasks))
+        large = join_hot(edges.select(F.col("v").alias("u"), F.col("u").alias("w")), least.coalesce(tasks), "u", "n", 2 * state[0])
+        large = shared(large.select(F.col("w").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks))
         # small star: a node and its smaller neighbours point at the least of them
-        least = shared(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        least = shared(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).coalesce(tasks))
         moved = join_hot(large, least, "u", "n", state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = shared(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = shared(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks))
         if (now := _state(edges)) == state:
             break
         state = now

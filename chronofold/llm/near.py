@@ -7,10 +7,11 @@ over the first 64 bits, a count over the next 64).  The number of bits of a tabl
 of unlike texts holds about CROWD of them at any size, and the number of tables from the bits, so that a pair at 0.8 meets in none of
 them with probability MISS.
 
-Texts with equal fingerprints are one node.  The first FIRST tables propose links without regard to each other; after these are confirmed, all
-tables propose only pairs whose ends are in different components, so that a dense group costs as many comparisons as it has members.  A
-trie with very many pairs proposes each member's nearest ones first and all that is left once those are confirmed; no pair within the budget
-is left out unless its ends are joined already.
+Texts with equal fingerprints are one node.  The first FIRST tables propose each member's nearest neighbours; after these are confirmed, all
+tables propose only pairs whose ends are in different components.  A trie with very many such pairs (a dense group on both sides of the
+similarity) names itself instead, and is walked once more with the members' shingles: there pairs are decided from the nearest on, by the
+shingles, each in the first table in which its ends meet, and a pair whose ends have been joined meanwhile is passed over.  So a dense group
+sends as many rows as it has members and links, and no pair within the budget is left out unless its ends are joined already.
 """
 
 from __future__ import annotations
@@ -33,21 +34,23 @@ from .util import shared, small, steps
 SHINGLE = 5
 #: Similarity of near copies as a fraction.
 OVER, UNDER = 4, 5
-#: 64-bit words of a fingerprint, and how many of them go with a row to its tries.
-WORDS, CARRIED = 4, 2
-#: Differing bits of the first 64 and of the first 128 bits of a pair, at most: 2.8 standard deviations above what short texts at 0.8 have.
-NEAR_64, NEAR_128 = 20, 36
+#: 64-bit words of a fingerprint.
+WORDS = 4
+#: Fingerprints, pairs and the like of a task, at least.
+TASK_NODES = 50_000
+#: Differing bits of the first 64 and of all bits of a pair, at most: over three standard deviations above what texts at 0.8 have.
+NEAR_64, NEAR = 21, 58
 #: The share of differing bits that tables are made for, and how often they may miss a pair that has it.
 DIFFER, MISS = 0.16, 0.001
 #: Unlike texts of one trie, and the least number of bits by which it is entered.
 CROWD, LEAST_BITS = 64, 4
 #: Tables of the first pass; pairs a member for which all pairs of a trie are proposed at once.
-FIRST, MANY = 4, 16
+FIRST, MANY = 2, 1
 #: Members of a trie's part; rows that a task walks, and pairs that it may have, at once; members from which joined ones are set apart.
 LEAF, WALK, PAIRS, CROWDED = 1024, 1 << 14, 1 << 21, 128
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-NODE = ["node", "root", *(f"w{i}" for i in range(CARRIED))]
+NODE = ["node", "root", *(f"w{i}" for i in range(WORDS))]
 
 
 def shingles(text: str) -> frozenset[bytes]:
@@ -136,6 +139,16 @@ def _with_prints(texts: DataFrame) -> DataFrame:
     return texts.withColumn("w", run("text")).drop("text")
 
 
+def _with_hashes(texts: DataFrame) -> DataFrame:
+    @F.arrow_udf("array<long>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            got = [shingle_hashes(t).view(np.int64) for some in steps(batch) for t in some]
+            yield pa.ListArray.from_arrays(np.cumsum([0, *map(len, got)], dtype=np.int32), np.concatenate([np.empty(0, np.int64), *got]))
+
+    return texts.select("node", run("text").alias("hashes"))
+
+
 def plan(nodes: int) -> tuple[int, int]:
     """Bits of a table, and tables, for so many fingerprints."""
     bits = max(LEAST_BITS, ceil(log2(max(nodes, 1) / CROWD)))
@@ -164,11 +177,11 @@ def _deal(bits: int, tables: range):
 
 
 def _nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Of the pairs, which are the nearest one of an end."""
+    """Which pairs are the nearest one of a member."""
+    ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((pair, far[pair], ends))
     keep = np.zeros(len(a), bool)
-    for end in (a, b):
-        order = np.lexsort((far, end))
-        keep[order[np.flatnonzero(np.append(True, end[order][1:] != end[order][:-1]))]] = True
+    keep[pair[order[np.flatnonzero(np.append(True, ends[order][1:] != ends[order][:-1]))]]] = True
     return keep
 
 
@@ -180,14 +193,39 @@ def _across(w0: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.n
         yield a[k + i], b[j]
 
 
-def _walk(every: bool):
-    """Pairs (u, v) to confirm, of whole tries; (key, null) for a trie that has more of them, unless ``every`` one is wanted."""
+def _decide(pairs: np.ndarray, node: np.ndarray, root: np.ndarray, held: list[np.ndarray]) -> list[tuple[int, int]]:
+    """The links (u, v) that join components, of pairs of places in the order in which they are to be decided."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := top.get(x, x)) != x:
+            top[x] = x = top.get(up, up)
+        return x
+
+    out = []
+    for i, j in pairs.tolist():
+        a, b = find(int(root[i])), find(int(root[j]))
+        x, y = held[i], held[j]
+        if a != b and UNDER * min(len(x), len(y)) >= OVER * max(len(x), len(y)):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if UNDER * both >= OVER * (len(x) + len(y) - both):
+                top[max(a, b)] = min(a, b)
+                out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def _walk(bits: int, nearest: bool, decide: bool):
+    """Pairs (u, v) of whole tries: to be confirmed, or, if they are decided here, links.  (key, null) names a trie that has too many to be
+    confirmed; if the ``nearest`` are wanted, each member has its nearest one instead."""
 
     def walk(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, low, high, node, root, w0, w1 = (t[c].to_numpy() for c in ("key", "low", "high", *NODE))
-        w0, w1 = w0.view(np.uint64), w1.view(np.uint64)
-        order = np.lexsort((w0, high, low, key))
-        key, low, high, node, root, w0, w1 = (x[order] for x in (key, low, high, node, root, w0, w1))
+        key, low, high, node, root = (t[c].to_numpy() for c in ("key", "low", "high", "node", "root"))
+        words = np.stack([t[f"w{i}"].to_numpy() for i in range(WORDS)], 1).view(np.uint64)
+        order = np.lexsort((words[:, 0], high, low, key))
+        key, low, high, node, root, words = (x[order] for x in (key, low, high, node, root, words))
+        w0 = np.ascontiguousarray(words[:, 0])
+        lists = t["hashes"].combine_chunks() if decide else None
+        held = [lists[int(k)].values.to_numpy() for k in order] if decide else []
         new = np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in (key, low, high)])) if len(key) else np.empty(0, bool)
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(key)))
@@ -211,14 +249,30 @@ def _walk(every: bool):
             at, of = np.concatenate(at), np.concatenate(of)
             a, b = simhash.trie_links(w0[at], of, NEAR_64, few=64)
             a, b, own = (np.concatenate(x) for x in zip((at[a], at[b], of[a]), *found, strict=True))
-            far = np.bitwise_count(w0[a] ^ w0[b]).astype(np.int16) + np.bitwise_count(w1[a] ^ w1[b])
-            keep = (far <= NEAR_128) & (root[a] != root[b])
+            keep = root[a] != root[b]
+            a, b, own = a[keep], b[keep], own[keep]
+            far = np.zeros(len(a), np.int16)
+            for i in range(WORDS):
+                far += np.bitwise_count(words[a, i] ^ words[b, i])
+            keep = far <= NEAR
             a, b, far, own = a[keep], b[keep], far[keep], own[keep]
+            if decide:
+                # a pair is decided in the first table in which its ends meet
+                for k, g in enumerate(part.tolist()):
+                    mine = np.flatnonzero(own == k)
+                    table = int(key[starts[g]]) >> bits
+                    keys = table_keys(words[starts[g] : starts[g] + sizes[g]], bits, range(table)) if table else np.empty((sizes[g], 0))
+                    for c in range(keys.shape[1]):
+                        mine = mine[keys[a[mine] - starts[g], c] != keys[b[mine] - starts[g], c]]
+                    links = _decide(np.stack([a[mine], b[mine]], 1)[np.argsort(far[mine], kind="stable")], node, root, held)
+                    yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in links], pa.int64()), pa.array([min(x) for x in links], pa.int64())], ["u", "v"])
+                continue
             more = np.bincount(own, minlength=len(part)) > MANY * sizes[part]
-            if not every and more.any():
-                keep = ~more[own] | _nearest(a, b, far)
+            if nearest or more.any():
+                keep = _nearest(a, b, far) if nearest else ~more[own]
                 a, b = a[keep], b[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(key[starts[part[more]]]), pa.nulls(int(more.sum()), pa.int64())], ["u", "v"])
+                if not nearest:
+                    yield pa.RecordBatch.from_arrays([pa.array(key[starts[part[more]]]), pa.nulls(int(more.sum()), pa.int64())], ["u", "v"])
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,16 +295,16 @@ def _walk(every: bool):
     return run
 
 
-def proposed(nodes: DataFrame, bits: int, tables: range, *, only: DataFrame | None = None, apart: bool = False, every: bool = False) -> DataFrame:
+def proposed(nodes: DataFrame, bits: int, tables: range, *, apart: bool = False, only: DataFrame | None = None, hashes=None) -> DataFrame:
     """Pairs (u, v) of nodes (node, root, w0...) of different roots that some table lets meet within the budget.
 
-    ``only`` (key) names the tries to walk.  A trie of over LEAF members is cut by hash.  Where all but LEAF of them have one root, these are
+    ``only`` (key) names the tries to walk, with ``hashes``, which gives (node, hashes) of nodes, to decide pairs by.  A trie of over LEAF members is cut by hash.  Where all but LEAF of them have one root, these are
     dealt out and the others meet each part; else each pair of parts is walked, or, if ``apart``, each part on its own.  Rows (key, null)
     name tries that have more pairs than have been proposed.
     """
-    dealt = nodes.select(*NODE, *[f"w{i}" for i in range(CARRIED, WORDS)]).mapInArrow(_deal(bits, tables), "key long, " + ", ".join(f"{c} long" for c in NODE))
+    dealt = nodes.select(*NODE).mapInArrow(_deal(bits, tables), "key long, " + ", ".join(f"{c} long" for c in NODE))
     if only is not None:
-        dealt = dealt.join(small(only), "key", "left_semi")
+        dealt = shared(dealt.join(small(only), "key", "left_semi"))
     of = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
     large = shared(of.where((F.col("n") > LEAF) & (F.col("least") < F.col("most"))).select("key", "n", F.ceil(F.col("n") / F.lit(LEAF)).cast("int").alias("parts")))
     zero = F.lit(0)
@@ -271,8 +325,10 @@ def proposed(nodes: DataFrame, bits: int, tables: range, *, only: DataFrame | No
             pairs = F.transform(each, lambda j: F.struct(F.least(own, j).alias("low"), F.greatest(own, j).alias("high")))
             to = F.when((F.col("parts") == 1) | (F.col("root") == F.col("top")), alone).when(F.col("top").isNotNull(), all_parts).otherwise(pairs)
         dealt = dealt.select("key", *NODE, F.explode(to).alias("p")).select("key", "p.low", "p.high", *NODE)
+    if hashes is not None:
+        dealt = dealt.join(hashes(dealt.select("node").distinct()), "node")
     dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(_walk(every), "u long, v long")
+    return dealt.mapInArrow(_walk(bits, apart, hashes is not None), "u long, v long")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,25 +355,31 @@ def firsts(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFram
     rows = shared(_with_prints(named.select("id", copy_of(F.col("text")).alias("copy"), "text")).select("id", "copy", "w.*"))
     same = rows.groupBy(*words, "id", "copy").agg(F.count(F.lit(1)).alias("n"))
     nodes = shared(same.groupBy(*words).agg(F.min(F.struct("id", "copy", "n")).alias("first")).select(F.col("first.copy").alias("node"), "first", *words))
-    bits, tables = plan(nodes.count())
+    count = nodes.count()
+    bits, tables = plan(count)
+    # what is small beside the texts is not spread over all of the session's shuffle partitions
+    tasks = 4 + count // TASK_NODES
     told = named.withColumn("copy", copy_of(F.col("text")))
-    edges = roots = only = None
-    for turn in range(4):
-        every = turn == 3
+
+    def texts(ends: DataFrame) -> DataFrame:
+        """(node, text) of nodes: one row holds the text of each, that of its least id."""
+        wanted = shared(nodes.coalesce(tasks).join(ends, "node").select(F.col("node").alias("copy"), F.col("first.id").alias("id")).coalesce(tasks))
+        return told.join(small(wanted), ["copy", "id"], "left_semi").groupBy(F.col("copy").alias("node")).agg(F.first("text").alias("text"))
+
+    roots = None
+    for turn in range(3):
         own = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = shared(proposed(own, bits, range(min(FIRST, tables) if turn == 0 else tables), only=only, apart=turn == 0, every=every))
-        pairs = shared(found.where("v is not null").distinct())
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        wanted = shared(nodes.join(ends, "node").select(F.col("node").alias("copy"), F.col("first.id").alias("id")))
-        # one row holds the text of a node: that of its least id
-        texts = told.join(small(wanted), ["copy", "id"], "left_semi").groupBy(F.col("copy").alias("node")).agg(F.first("text").alias("text"))
-        new = shared(confirmed(pairs, texts))
-        if roots is None or not new.isEmpty():
-            edges = new if edges is None else edges.unionByName(new)
-            roots = components(edges).select("node", "root")
-        if turn:
+        if turn < 2:
+            found = shared(proposed(own, bits, range(min(FIRST, tables) if turn == 0 else tables), apart=turn == 0))
+            pairs = shared(found.where("v is not null").coalesce(tasks).distinct().coalesce(tasks))
+            new = shared(confirmed(pairs, texts(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())))
+        else:
             only = found.where("v is null").select(F.col("u").alias("key")).distinct()
-            if every or only.isEmpty():
+            if only.isEmpty():
                 break
+            new = shared(proposed(own, bits, range(tables), only=only, hashes=lambda ends: _with_hashes(texts(ends))))
+        if roots is None or not new.isEmpty():
+            # what is joined already goes on as stars
+            roots = components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     return grouped.agg(F.min("first").alias("first")).select(F.col("first.id").alias(id), "first.copy", "first.n")
