@@ -59,22 +59,33 @@ class State:
         return State(shared=self.shared)
 
 
+# Kinds of cursors, and to which side one moves once its element is gone.
+START, END, ELEMENT = 1, 2, 3
+BEFORE, AFTER = 1, 2
+
+
 def cursor_bytes(kind: str, ctr: int = 0, actor: bytes = b"", before: bool = False) -> bytes:
-    """Version, kind (0 start, 1 end, 2 element), and for an element its move side, actor and counter."""
+    """Version, kind, and for an element its actor, counter and side."""
     if kind in ("start", "end"):
-        return bytes([1, 0 if kind == "start" else 1])
-    return bytes([1, 2, int(before)]) + leb128.unsigned(len(actor)) + actor + leb128.unsigned(ctr)
+        return bytes([1, START if kind == "start" else END])
+    return bytes([1, ELEMENT]) + leb128.unsigned(len(actor)) + actor + leb128.unsigned(ctr) + bytes([BEFORE if before else AFTER])
 
 
 def parse_cursor_bytes(data: bytes) -> tuple[str, int, bytes, bool]:
-    """kind, counter, actor, before; version 0 had elements alone, without a side."""
+    """kind, counter, actor, before; version 0 had elements alone, and no side: they move forwards."""
+    if len(data) < 2:
+        raise Malformed("no cursor")
     r = Reader(data)
     version = r.bytes(1)[0]
     if version > 1:
         raise Malformed("unknown cursor version")
-    kind = r.bytes(1)[0] if version else 2
-    if kind < 2:
-        return ("start", "end")[kind], 0, b"", False
-    before = bool(r.bytes(1)[0]) if version else False
+    kind = r.bytes(1)[0] if version else ELEMENT
+    if kind in (START, END):
+        return "start" if kind == START else "end", 0, b"", False
+    if kind != ELEMENT:
+        raise Malformed("unknown cursor kind")
     actor = r.sized()
-    return "op", r.number(), actor, before
+    ctr, side = r.number(), r.bytes(1)[0] if version else AFTER
+    if side not in (BEFORE, AFTER):
+        raise Malformed("unknown cursor side")
+    return "op", ctr, actor, side == BEFORE

@@ -7,6 +7,9 @@ nothing; edits return a new ``Document`` whose ops are written out, so that edit
 from __future__ import annotations
 
 import json
+import os
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +46,11 @@ def _python(r):
     return {0: None, 1: False, 2: True}[v.tag] if v.tag < 3 else next(x for x in (v.l, v.u, v.d, v.s, v.b) if x is not None)
 
 
+def random_actor() -> bytes:
+    """An actor that nobody else has: 16 random bytes."""
+    return os.urandom(16)
+
+
 @dataclass(frozen=True)
 class Document:
     """A document's ops and sealed changes; ``pending`` holds ops that no change has yet."""
@@ -169,6 +177,17 @@ class Document:
         top = out.ops.agg(F.max("op_ctr")).first()[0]
         return out, f"{top}@{self.actor.hex()}"
 
+    def insert_object(self, obj: str, index: int, kind: str) -> tuple[Document, str]:
+        """A new, empty object in a sequence, and its id."""
+        action = next(a for a, name in S.OBJECT_TYPES.items() if name == kind)
+        out = self._grown(mutations.insert_object(self.ops, self._command(obj, idx=F.lit(index).cast("long"), action=F.lit(action))))
+        top = out.ops.agg(F.max("op_ctr")).first()[0]
+        return out, f"{top}@{self.actor.hex()}"
+
+    def splice_trees(self, obj: str, pos: int, delete: int, trees: list) -> Document:
+        """As ``splice``, with nested values."""
+        return self._grown(mutations.splice_trees(self.ops, self._command(obj, pos=F.lit(pos).cast("long"), **{"del": F.lit(delete)}, trees=F.lit(json.dumps(trees)))))
+
     def put_tree(self, obj: str, key: str, tree) -> Document:
         """A nested value at a key."""
         return self._grown(mutations.create_trees(self.ops, self._command(obj, map_key=F.lit(key), tree=F.lit(json.dumps(tree)))))
@@ -217,3 +236,47 @@ class Document:
         d = self.commit()
         r = container.write(d.ops, d.changes).first()
         return bytes(r.content) if r else b""
+
+
+class AutoCommit:
+    """A document that seals a change after each edit; reads are those of the document as it stands.
+
+    ``clock`` gives a change's time in milliseconds.  Edits change the wrapper and return what else they give (an object's id), or nothing.
+    """
+
+    EDITS = frozenset("put put_object insert_object put_tree delete increment splice splice_trees insert splice_text mark merge".split())
+
+    def __init__(self, doc: Document, clock: Callable[[], int] = lambda: time.time_ns() // 1_000_000) -> None:
+        self.doc, self.clock, self.message = doc.commit(), clock, None
+
+    @classmethod
+    def new(cls, spark: SparkSession, actor: bytes | None = None, **more) -> AutoCommit:
+        return cls(Document.new(spark, actor or random_actor()), **more)
+
+    @classmethod
+    def load(cls, spark: SparkSession, data: bytes, actor: bytes | None = None, **more) -> AutoCommit:
+        return cls(Document.load(spark, data, actor or random_actor()), **more)
+
+    def set_message(self, message: str) -> None:
+        """For the next change alone."""
+        self.message = message
+
+    def fork(self, actor: bytes | None = None) -> AutoCommit:
+        return AutoCommit(self.doc.fork(actor or random_actor()), self.clock)
+
+    def __getattr__(self, name: str):
+        own = getattr(self.doc, name)
+        if name not in self.EDITS:
+            return own
+
+        def edit(*args, **settings):
+            if name == "merge":
+                args = tuple(a.doc if isinstance(a, AutoCommit) else a for a in args)
+            found = own(*args, **settings)
+            done, out = found if isinstance(found, tuple) else (found, None)
+            if done.pending.count():
+                done, self.message = done.commit(self.message, self.clock()), None
+            self.doc = done
+            return out
+
+        return edit

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from . import leb128
 
 BITS, PROBES = 10, 7
@@ -46,3 +48,17 @@ def parse(wire: bytes) -> tuple[int, int, int, bytes]:
 def contains(wire: bytes, digest: bytes) -> bool:
     n, _, _, bits = parse(wire)
     return bool(n) and all(bits[p >> 3] >> (p & 7) & 1 for p in probes(digest, 8 * len(bits)))
+
+
+def contained(wire: bytes, digests: np.ndarray) -> np.ndarray:
+    """Which of the digests (rows of 12 bytes or more) the filter holds; it is read once."""
+    n, _, _, bits = parse(wire)
+    if not n:
+        return np.zeros(len(digests), bool)
+    size = np.uint64(8 * len(bits))
+    x, y, z = (np.ascontiguousarray(digests[:, k : k + 4]).view("<u4")[:, 0].astype(np.uint64) % size for k in (0, 4, 8))
+    held, out = np.frombuffer(bits, np.uint8), np.ones(len(digests), bool)
+    for _ in range(PROBES):
+        out &= (held[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        x, y = (x + y) % size, (y + z) % size
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bloom import contains, filter_of
+from ..functions.bloom import contained, filter_of
 from ..functions.ship import ship
 from .history import ancestors
 
@@ -68,42 +68,52 @@ def bloom_filters(hashes: DataFrame) -> DataFrame:
     return hashes.select("doc_id", "hash").distinct().groupBy("doc_id").applyInArrow(build, "doc_id bigint, bits binary")
 
 
-def to_send(changes: DataFrame, filters: DataFrame, *, need: DataFrame | None = None, sent: DataFrame | None = None) -> DataFrame:
-    """(doc_id, hash) of the changes to send a peer with these filters: those in none, all that depend on them, and what it asks for;
-    without those already sent.  A document without a filter is sent whole."""
-    ship(changes.sparkSession)
+def unheld(hashes: DataFrame, filters: DataFrame) -> DataFrame:
+    """The hashes (doc_id, hash) that are in none of their document's filters (doc_id, bits)."""
+    ship(hashes.sparkSession)
 
     @F.arrow_udf("boolean")
-    def absent(bits, hashes):
+    def held(bits, hashes):
+        import numpy as np
         import pyarrow as pa
 
-        return pa.array([b is None or not contains(b, h) for b, h in zip(bits.to_pylist(), hashes.to_pylist(), strict=True)], pa.bool_())
+        bits = bits.dictionary_encode()
+        rows = np.stack([np.frombuffer(h[:12], np.uint8) for h in hashes.to_pylist()]) if len(hashes) else np.empty((0, 12), np.uint8)
+        of, out = bits.indices.fill_null(-1).to_numpy(zero_copy_only=False), np.zeros(len(hashes), bool)
+        for k, wire in enumerate(bits.dictionary.to_pylist()):
+            mine = np.flatnonzero(of == k)
+            out[mine] = contained(wire, rows[mine])
+        return pa.array(out)
+
+    named = hashes.select("doc_id", "hash").distinct()
+    met = named.join(filters.select("doc_id", "bits"), "doc_id").where(held("bits", "hash")).select("doc_id", "hash").distinct()
+    return named.join(met, ["doc_id", "hash"], "left_anti")
 
-    tested = changes.select("doc_id", "hash").distinct().join(filters, "doc_id", "left")
-    first = tested.where(absent("bits", "hash")).select("doc_id", "hash")
+
+def to_send(changes: DataFrame, filters: DataFrame, *, need: DataFrame | None = None, sent: DataFrame | None = None) -> DataFrame:
+    """(doc_id, hash) of the changes to send a peer with these filters: of those since its baselines the ones in none of its filters, what
+    it asks for, and all that depends on them; without those already sent, and what is reached through these alone.
+
+    ``filters`` has doc_id and bits, a row or more a document, and may have last_sync (hashes, the peer's baseline).  A document without a
+    filter is sent whole.
+    """
+    named = changes.select("doc_id", "hash").distinct()
+    first = named
+    if "last_sync" in filters.columns:
+        first = since(changes, filters.select("doc_id", F.explode("last_sync").alias("hash")).distinct())
+    first = unheld(first, filters)
     if need is not None:
-        first = first.unionByName(need.select("doc_id", "hash").join(changes.select("doc_id", "hash"), ["doc_id", "hash"], "left_semi"))
-    out = dependents(changes, first)
-    return out if sent is None else out.join(sent.select("doc_id", "hash"), ["doc_id", "hash"], "left_anti")
+        first = first.unionByName(need.select("doc_id", "hash").join(named, ["doc_id", "hash"], "left_semi"))
+    return dependents(changes, first.distinct(), sent)
 
 
-def dependents(changes: DataFrame, first: DataFrame) -> DataFrame:
-    """(doc_id, hash) of these changes and of all that depend on them."""
+def dependents(changes: DataFrame, first: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """(doc_id, hash) of these changes and of all that depend on them; without ``stop``, and nothing is passed through it."""
     down = edges(changes).groupBy("doc_id", F.col("dep").alias("hash")).agg(F.collect_set("hash").alias("deps"))
     every = changes.select("doc_id", "hash").distinct().join(down, ["doc_id", "hash"], "left")
-    return ancestors(every.select("doc_id", "hash", "deps"), first)
+    return ancestors(every.select("doc_id", "hash", "deps"), first, stop)
 
 
 def shared_heads(changes: DataFrame, theirs: DataFrame) -> DataFrame:
     """The peer's heads that are here too."""
     return theirs.select("doc_id", "hash").join(changes.select("doc_id", "hash"), ["doc_id", "hash"], "left_semi")
-
-
-def sync_messages(changes: DataFrame, shared: DataFrame, theirs: DataFrame) -> DataFrame:
-    """One row per document: heads, need, and a filter over what has happened since the shared heads (have_since, have_bits)."""
-    own = heads(changes).groupBy("doc_id").agg(F.array_sort(F.collect_set("hash")).alias("heads"))
-    need = missing(changes, theirs).groupBy("doc_id").agg(F.array_sort(F.collect_set("hash")).alias("need"))
-    have = bloom_filters(since(changes, shared)).withColumnRenamed("bits", "have_bits")
-    at = shared.groupBy("doc_id").agg(F.array_sort(F.collect_set("hash")).alias("have_since"))
-    none = F.array().cast("array<binary>")
-    return own.join(need, "doc_id", "left").join(at, "doc_id", "left").join(have, "doc_id", "left").select("doc_id", "heads", F.coalesce("need", none).alias("need"), F.coalesce("have_since", none).alias("have_since"), "have_bits")

@@ -7,6 +7,9 @@ conversation a document with a map ``chat`` that holds a text ``turns``, one ele
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,37 @@ SELECT conv_id, CAST(turn + 2000 AS BIGINT), lpad('2', 32, '0'), 2, CAST(turn +
 A0, A3 = "0" * 32, "0" * 31 + "3"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder where the cluster keeps checkpoints; one of this machine only for a local master, whose tasks see it."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.gettempdir()
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+_written: dict[tuple, str] = {}
+
+
+def once(spark: SparkSession, name: str, sf: str, make) -> DataFrame:
+    """The table that ``make`` gives, written once for each application and input and read from there by every query."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _written:
+        path = folder(spark, name)
+        make().write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a table of its own and read back, as what goes from one peer to another is."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _hex(column: str):
     return F.unhex(F.col(column))
 
@@ -64,6 +98,10 @@ def raw_ops(spark: SparkSession, sf: str) -> DataFrame:
 
 def map_ops(spark: SparkSession, sf: str) -> DataFrame:
     """The events' op log."""
+    return once(spark, "ops", sf, lambda: _map_ops(spark, sf))
+
+
+def _map_ops(spark: SparkSession, sf: str) -> DataFrame:
     r = raw_ops(spark, sf)
     value = F.when(F.col("action") == 5, scalar(INT, l=F.floor("value"))).when((F.col("action") == 1) & F.col("value").isNotNull(), scalar(FLOAT, d=F.col("value"))).otherwise(scalar(NULL))
     none = F.array().cast("array<struct<ctr:bigint,actor:binary>>")
@@ -83,6 +121,10 @@ def change_hash(doc: str, actor: str, seq: str):
 
 def changes(spark: SparkSession, sf: str) -> DataFrame:
     """The events' change graph."""
+    return once(spark, "changes", sf, lambda: _changes(spark, sf))
+
+
+def _changes(spark: SparkSession, sf: str) -> DataFrame:
     c = raw_changes(spark, sf)
     deps = spark.sql(DEPS_SQL, changes=c).groupBy("doc_id", "actor", "seq").agg(F.collect_set(change_hash("doc_id", "dep_actor", "dep_seq")).alias("deps"))
     c = c.join(deps, ["doc_id", "actor", "seq"], "left")
@@ -100,6 +142,10 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 def text_ops(spark: SparkSession, sf: str, marks: bool = False) -> DataFrame:
     """The conversations' op log; with ``marks``, each text has a range ``bold`` over its first two elements and one ``note`` after the
     first."""
+    return once(spark, "marked" if marks else "texts", sf, lambda: _text_ops(spark, sf, marks))
+
+
+def _text_ops(spark: SparkSession, sf: str, marks: bool) -> DataFrame:
     t = turns(spark, sf)
     a0, a3, two = F.unhex(F.lit(A0)), F.unhex(F.lit(A3)), F.lit(2).cast("bigint")
     none = F.array().cast("array<struct<ctr:bigint,actor:binary>>")

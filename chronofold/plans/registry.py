@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import changes as ch
 from ..operators import columns as co
 from ..operators import diff as df_
-from ..operators import history, maps, marks, merge, mutations, sequence, visibility
+from ..operators import history, maps, marks, merge, mutations, sequence, sync, visibility
 from ..schema import ex_id, scalar
 from . import bridge
 
@@ -830,32 +830,39 @@ def init_hydrate(s, d):
     return mutations.create_trees(ops, c).select("doc_id", "op_ctr", "map_key", F.size("pred").cast("long").alias("n_pred"))
 
 
-# peers, containers and streams: no SQL for filters, wire forms and stateful steps; what SQL can tell of them it is asked for
-
-
-def folder(s, name: str) -> str:
-    """A new folder where the cluster keeps checkpoints."""
-    import tempfile
-    import uuid
-
-    return f"{s.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
+# peers, containers and streams
 
 
 @query(f"SELECT doc_id, {HASH_SQL.format('')} AS hash FROM changes")
 def apply_change(s, d):
-    """Changes arrive latest first, a file at a time, and go on in causal order."""
+    """Changes arrive latest first, in three batches, and go on in causal order."""
     from ..streaming import causal
 
-    c, path = bridge.changes(s, d), folder(s, "stream")
-    for part in (c.where("seq % 3 = 0"), c.where("seq % 3 = 2"), c.where("seq % 3 = 1")):
-        part.select(*causal.COLUMNS).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = s.readStream.schema(c.select(*causal.COLUMNS).schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    c, path = bridge.changes(s, d), bridge.folder(s, "stream")
+    for k, part in enumerate((c.where("seq % 3 = 0"), c.where("seq % 3 = 2"), c.where("seq % 3 = 1"))):
+        part.select(*causal.COLUMNS).write.parquet(f"{path}/in/part={k}")
+    stream = s.readStream.schema(c.select(*causal.COLUMNS).schema).option("maxFilesPerTrigger", 100).parquet(f"{path}/in/*")
     q = causal.release(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return s.read.parquet(f"{path}/out").select("doc_id", hx("hash").alias("hash"))
 
 
-@query(None)
+def word_sql(at: int) -> str:
+    """The little-endian number of four bytes of a hash in hex."""
+    digits = [(at + k) * 2 + 1 + half for k in (3, 2, 1, 0) for half in (0, 1)]
+    return "(" + " + ".join(f"(instr('0123456789abcdef', substr(hash, {p}, 1)) - 1) * {16 ** (7 - i)}" for i, p in enumerate(digits)) + ")"
+
+
+def probes_sql(source: str, name: str) -> str:
+    """The bits (bit, step) that each row (doc_id, hash, size) of ``source`` sets in a filter of ``size`` bits, as a named recursive table."""
+    return f"""{name}_ AS (SELECT doc_id, hash, size, 0 AS step, {word_sql(0)} % size AS x, {word_sql(4)} % size AS y, {word_sql(8)} % size AS z FROM {source} WHERE size > 0
+      UNION ALL SELECT doc_id, hash, size, step + 1, (x + y) % size, (y + z) % size, z FROM {name}_ WHERE step < 6), {name} AS (SELECT doc_id, hash, size, step, x AS bit FROM {name}_)"""
+
+
+NAMED_SQL = f"named AS (SELECT doc_id, actor, seq, max_op, {HASH_SQL.format('')} AS hash FROM changes)"
+
+
+@query(f"WITH {NAMED_SQL}, sized AS (SELECT n.doc_id, hash, size FROM named n JOIN (SELECT doc_id, CAST(ceil(count(*) * 10 / 8.0) * 8 AS BIGINT) AS size FROM changes GROUP BY doc_id) z ON n.doc_id = z.doc_id), {probes_sql('sized', 'probe')} SELECT doc_id, hash, size, string_agg(CAST(bit AS VARCHAR), ',' ORDER BY step) AS bits FROM probe GROUP BY doc_id, hash, size")
 def bloom_probes(s, d):
     """For each change the bits that it sets in a filter of all changes of its document."""
     from ..functions.bloom import BITS, probes
@@ -871,22 +878,58 @@ def bloom_probes(s, d):
 
     c = bridge.changes(s, d)
     size = c.groupBy("doc_id").agg((F.ceil(F.count(F.lit(1)) * BITS / 8) * 8).cast("long").alias("size"))
-    return c.join(size, "doc_id").select("doc_id", hx("hash").alias("hash"), "size", bits("hash", "size").alias("bits"))
+    return c.join(size, "doc_id").select("doc_id", hx("hash").alias("hash"), "size", F.array_join(bits("hash", "size").cast("array<string>"), ",").alias("bits"))
 
 
-@query(None)
+#: A peer that has what comes before ``past``; lost: what its filter does not hold; sent: that, and all that depends on it.
+FILTER_SQL = f"""{PAST_SQL}, {reached_sql('past')}, {NAMED_SQL}, held AS (SELECT n.* FROM named n SEMI JOIN reached r ON r.doc_id = n.doc_id AND r.actor = n.actor AND r.seq = n.seq),
+  sizes AS (SELECT doc_id, CAST(ceil(count(*) * 10 / 8.0) * 8 AS BIGINT) AS size FROM held GROUP BY doc_id),
+  in_filter AS (SELECT h.doc_id, hash, size FROM held h JOIN sizes z ON h.doc_id = z.doc_id), {probes_sql('in_filter', 'set_bits')},
+  asked AS (SELECT n.doc_id, hash, coalesce(size, 0) AS size FROM named n LEFT JOIN sizes z ON n.doc_id = z.doc_id), {probes_sql('asked', 'ask_bits')},
+  lost AS (SELECT DISTINCT a.doc_id, a.hash FROM ask_bits a ANTI JOIN set_bits b ON a.doc_id = b.doc_id AND a.bit = b.bit UNION SELECT doc_id, hash FROM asked WHERE size = 0),
+  sent AS (SELECT n.doc_id, n.actor, n.seq, n.hash FROM named n SEMI JOIN lost l ON n.doc_id = l.doc_id AND n.hash = l.hash
+    UNION SELECT n.doc_id, n.actor, n.seq, n.hash FROM sent s JOIN deps d ON d.doc_id = s.doc_id AND d.dep_actor = s.actor AND d.dep_seq = s.seq JOIN named n ON n.doc_id = d.doc_id AND n.actor = d.actor AND n.seq = d.seq)"""
+
+
+def answered(s, d):
+    """The answer to a peer's first message; what the peer has, and its state; the changes that go with the answer."""
+    c, held = peer(s, d)
+    held = bridge.stored(held, "held")
+    theirs, at_peer = (bridge.stored(x, "said") for x in sync.generate(held, bridge.stored(sync.new_states(held), "states")))
+    states = bridge.stored(sync.receive(c, sync.new_states(c), theirs, c.limit(0))[1], "states")
+    m = bridge.stored(sync.generate(c, states)[0], "said")
+    return m, held, at_peer, sync.sent_changes(c, m)
+
+
+def peer(s, d):
+    """All changes, and those that a peer has."""
+    c, at = past(s, d)
+    return c, c.join(history.ancestors(c, at), ["doc_id", "hash"], "left_semi")
+
+
+@query(f"WITH {FILTER_SQL} SELECT doc_id, hash FROM sent")
 def sync_filtered(s, d):
     """What to send a peer that has sent a filter of what it has had since the shared heads; never less than it lacks but for false hits."""
-    c, at = past(s, d)
-    held = c.join(history.ancestors(c, at), ["doc_id", "hash"], "left_semi")
+    c, held = peer(s, d)
     return ch.to_send(c, ch.bloom_filters(held)).select("doc_id", hx("hash").alias("hash"))
 
 
-@query(None)
+@query(f"WITH {FILTER_SQL}, {HEADS_SQL}, sending AS (SELECT doc_id, count(*) AS n_send FROM sent GROUP BY doc_id) SELECT h.doc_id, h.n_heads, CAST(0 AS BIGINT) AS n_need, coalesce(n_send, 0) AS n_send, CAST(1 AS BIGINT) AS n_have FROM (SELECT doc_id, count(*) AS n_heads FROM heads GROUP BY doc_id) h LEFT JOIN sending x ON h.doc_id = x.doc_id")
 def sync_message(s, d):
-    c, at = past(s, d)
-    m = ch.sync_messages(c, at, ch.heads(c))
-    return m.select("doc_id", F.size("heads").alias("n_heads"), F.size("need").alias("n_need"), F.size("have_since").alias("n_since"), F.octet_length("have_bits").alias("n_bits"))
+    """The answer to a peer's first message."""
+    m = answered(s, d)[0]
+    n = lambda x: F.size(x).cast("long")
+    return m.select("doc_id", n("heads").alias("n_heads"), n("need").alias("n_need"), n("send").alias("n_send"), n("have").alias("n_have"))
+
+
+@query(f"WITH {FILTER_SQL}, {HEADS_SQL}, got AS (SELECT doc_id, hash FROM held UNION SELECT doc_id, hash FROM sent), named_heads AS (SELECT doc_id, {HASH_SQL.format('')} AS hash FROM heads) SELECT h.doc_id, (SELECT count(*) FROM got g WHERE g.doc_id = h.doc_id) AS n_changes, count(g.hash) = count(*) AS settled, count(g.hash) AS n_heads_here FROM named_heads h LEFT JOIN got g ON g.doc_id = h.doc_id AND g.hash = h.hash GROUP BY h.doc_id")
+def sync_receive(s, d):
+    """The peer takes the answer in: what it has then, and whether the heads are shared."""
+    m, held, at_peer, arrived = answered(s, d)
+    got, after = sync.receive(held, at_peer, m, arrived)
+    count = got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_changes"))
+    here = F.size(F.array_intersect("shared", "their_heads")).cast("long")
+    return after.where("their_heads is not null").join(count, "doc_id").select("doc_id", "n_changes", (F.array_sort("shared") == F.array_sort("their_heads")).alias("settled"), here.alias("n_heads_here"))
 
 
 def committed(s, d):

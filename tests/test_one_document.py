@@ -1,6 +1,6 @@
 """A document by hand: edit, commit, fork, merge, go back, save."""
 
-from chronofold.document import ROOT, Document
+from chronofold.document import ROOT, AutoCommit, Document, random_actor
 
 A, B = b"\xaa" * 16, b"\xbb" * 16
 
@@ -21,3 +21,22 @@ def test_life_of_a_document(spark):
     assert back.heads() == m.heads() and back.get(ROOT, "x") == 3 and back.text(notes) == "hello world" and back.text(notes, first) == "hello"
     c = back.cursor(notes, 6)
     assert back.splice_text(notes, 0, 6, "").cursor_position(notes, c) == 0
+
+
+def test_auto_commit(spark):
+    times = iter(range(1000, 2000))
+    d = AutoCommit.new(spark, A, clock=lambda: next(times))
+    d.set_message("first")
+    d.put(ROOT, "x", 1)
+    items = d.put_object(ROOT, "items", "list")
+    d.splice_trees(items, 0, 0, ["a", {"k": 2}])
+    inner = d.insert_object(items, 1, "text")
+    d.delete(ROOT, "none")
+    rows = sorted((r.seq, r.message, r.time) for r in d.changes.collect())
+    assert rows == [(1, "first", 1000), (2, None, 1001), (3, None, 1002), (4, None, 1003)] and d.pending.count() == 0
+    assert d.list_items(items)[0] == "a" and d.list_items(items)[1] == inner and d.length(items) == 3
+    other = d.fork(B)
+    other.put(ROOT, "x", 5)
+    d.merge(other)
+    assert d.get(ROOT, "x") == 5 and AutoCommit.load(spark, d.save()).get(ROOT, "x") == 5
+    assert len(random_actor()) == 16 and random_actor() != random_actor()

@@ -1,4 +1,4 @@
-"""Registered queries against their SQL.  CHRONOFOLD_ALL=1 takes all of them, else one of each kind."""
+"""Registered queries against their SQL."""
 
 import os
 
@@ -7,8 +7,7 @@ import pytest
 from chronofold.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["get_winner", "visible_at", "clock_at", "list_elements", "text_at", "marks", "diff_map", "merge_ops", "splice_text", "delete_key", "rle_segments", "zone_map"]
-NAMES = sorted(registry.ORACLE_SQL) if os.environ.get("CHRONOFOLD_ALL") else SOME
+NAMES = sorted(registry.ORACLE_SQL)
 
 
 @pytest.fixture(scope="module")
