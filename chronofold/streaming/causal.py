@@ -7,6 +7,7 @@ change waits for its dependencies however late they are; ``waiting`` of a batch
 from __future__ import annotations
 
 import pickle
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,9 +30,9 @@ def released(known: dict, waiting: dict, new: list[dict]) -> list[dict]:
     for h, ds in needs.items():
         for d in ds:
             after.setdefault(d, []).append(h)
-    ready, out = [h for h, ds in needs.items() if not ds], []
+    ready, out = deque(h for h, ds in needs.items() if not ds), []
     while ready:
-        h = ready.pop(0)
+        h = ready.popleft()
         known[h] = len(known)
         out.append(waiting.pop(h) | {"place": known[h]})
         for x in after.get(h, ()):

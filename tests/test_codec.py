@@ -194,3 +194,18 @@ def test_filters_are_read_once():
 @pytest.mark.parametrize("c", [("start", 0, b"", False), ("end", 0, b"", False), ("op", 300, A, True), ("op", 0, b"", False)])
 def test_cursor_bytes(c):
     assert messages.parse_cursor_bytes(messages.cursor_bytes(*c)) == c
+
+
+def test_whole_groups():
+    import pyarrow as pa
+
+    from chronofold.functions.groups import split, whole_groups
+
+    rng = random.Random(1)
+    keys = [k for k in range(30) for _ in range(rng.choice([1, 2, 40]))]
+    rows = [{"k": k, "i": i} for i, k in enumerate(keys)]
+    for size in (1, 3, 7, 500):
+        batches = [pa.RecordBatch.from_pylist(rows[i : i + size]) for i in range(0, len(rows), size)] + [pa.RecordBatch.from_pylist(rows[:0], schema=pa.schema([("k", pa.int64()), ("i", pa.int64())]))]
+        got = list(whole_groups(iter(batches), ["k"], rows=10))
+        assert [r for part in got for r in part] == rows
+        assert [len({r["k"] for r in g}) for part in got for g in split(part, ["k"])] == [1] * 30 and all(a[-1]["k"] != b[0]["k"] for a, b in zip(got, got[1:], strict=False))
