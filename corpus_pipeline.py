@@ -54,8 +54,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes and decodes every text."""
-    return bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), queries.vocabulary()).drop("text")
+    """Encodes and decodes every text; the text and its length give way to what comes of them, other columns stay."""
+    return bpe.round_trip(docs.drop("n_chars"), queries.vocabulary()).drop("text")
 
 
 STAGES = [

@@ -90,11 +90,14 @@ def test_chat(spark):
         loss = "".join(t or "" for r, t in turns if r == "assistant")
         r = got[conv]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    lengths = {}
     for w in chat.windows(df, **settings).collect():
+        lengths[w.conv_id] = lengths.get(w.conv_id, 0) + len(w.text)
         spans = w.text.count("<|turn|>")
         assert w.tokens <= 80 or spans - w.repeated <= 1 or spans - w.repeated == 2 and want[w.conv_id][0][0] == "system"
         assert w.repeated <= 3 and (w.window > 0 or w.repeated == 0)
         assert not w.window or (want[w.conv_id][0][0] == "system") == w.text.startswith("<|turn|>system\n")
+    assert {c: r.formatted_chars for c, r in got.items()} == lengths
 
 
 def test_chat_odd_rows(spark):
@@ -348,6 +351,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == len(last)
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No rows, no labels, no benchmark; null columns; and columns that have the names of results."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, None, None, None, None, 1.0, None), (1, None, "en", "s", 0, 2.0, ["x"]), (1, None, "en", "s", 0, 2.0, ["x"]), (2, "token = abcdefgh", None, "s", 16, 3.0, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, digest array<string>")
+    for at, want in ((docs.limit(0), 0), (docs, 3)):
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            out = stage(spark, at, str(tmp_path))
+            assert k == len(pipeline.STAGES) - 1 or out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{want}-{k}")
+            at = spark.read.parquet(f"{tmp_path}/{want}-{k}")
+        assert at.count() == want and {"lang", "score", "digest", "n_tokens"} <= set(at.columns)
+    assert sorted(map(str, (r.doc_id for r in at.collect()))) == ["1", "2", "None"]
+
+
 def near_copy_rows(rng):
     """Texts of 40 to 120 made-up words, near copies on both sides of similarity 0.8, a chain of them, and a dense group."""
     word = lambda: "w" + str(rng.randrange(4000))
