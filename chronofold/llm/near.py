@@ -178,9 +178,11 @@ def _deal(bits: int, tables: range):
 
 def _nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
     """Which pairs are the nearest one of a member."""
+    keep = np.zeros(len(a), bool)
+    if not len(a):
+        return keep
     ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
     order = np.lexsort((pair, far[pair], ends))
-    keep = np.zeros(len(a), bool)
     keep[pair[order[np.flatnonzero(np.append(True, ends[order][1:] != ends[order][:-1]))]]] = True
     return keep
 

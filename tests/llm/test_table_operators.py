@@ -435,6 +435,20 @@ def test_wide_prints():
     assert keys.shape == (len(texts), tables) and (keys >> bits == np.arange(tables)).all() and (near.table_keys(found.view(np.int64), bits, range(2)) == keys[:, :2]).all()
 
 
+def test_nearest_pairs():
+    none = np.empty(0, np.int64)
+    assert near._nearest(none, none, none.astype(np.int16)).tolist() == []
+    # 1-2 is nearest for both ends, 0-1 for 0 and 2-3 for 3
+    assert near._nearest(np.array([0, 1, 0, 2]), np.array([1, 2, 2, 3]), np.array([5, 1, 9, 4], np.int16)).tolist() == [True, True, False, True]
+
+
+def test_unlike_texts_propose_nothing(spark):
+    """Tries whose members are all unlike each other."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(40)]
+    assert pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").count() == 40
+
+
 @pytest.mark.parametrize("settings", [{}, {"LEAF": 16, "CROWDED": 4, "MANY": 1, "LEAST_BITS": 1}])
 def test_near_copies_of_the_pipeline(spark, monkeypatch, settings):
     """Small parts make every trie be cut, and dense groups be walked more than once."""
