@@ -29,15 +29,17 @@ from pyspark.sql import functions as F
 from ..functions.ship import ship
 from . import simhash
 from .components import components
-from .util import shared, small, steps
+from .util import BROADCAST_ROWS, let_go, shared, small, steps
 
 SHINGLE = 5
+#: Links up to which one task joins components: two integers each, a few seconds in all.
+AT_ONCE = 1_000_000
 #: Similarity of near copies as a fraction.
 OVER, UNDER = 4, 5
 #: 64-bit words of a fingerprint.
 WORDS = 4
-#: Fingerprints, pairs and the like of a task, at least.
-TASK_NODES = 50_000
+#: Fingerprints, pairs and the like of a task, at least; tasks that read what is few beside them.
+TASK_NODES, TASKS = 50_000, 4
 #: Differing bits of the first 64 and of all bits of a pair, at most: over three standard deviations above what texts at 0.8 have.
 NEAR_64, NEAR = 21, 58
 #: The share of differing bits that tables are made for, and how often they may miss a pair that has it.
@@ -297,6 +299,12 @@ def _walk(bits: int, nearest: bool, decide: bool):
     return run
 
 
+def _counted(df: DataFrame) -> tuple[int, DataFrame]:
+    """The number of rows of a checkpoint, and the same to be broadcast if they are few; a look for a first row would take several jobs."""
+    n = df.count()
+    return n, F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def proposed(nodes: DataFrame, bits: int, tables: range, *, apart: bool = False, only: DataFrame | None = None, hashes=None) -> DataFrame:
     """Pairs (u, v) of nodes (node, root, w0...) of different roots that some table lets meet within the budget.
 
@@ -310,13 +318,15 @@ def proposed(nodes: DataFrame, bits: int, tables: range, *, apart: bool = False,
     of = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
     large = shared(of.where((F.col("n") > LEAF) & (F.col("least") < F.col("most"))).select("key", "n", F.ceil(F.col("n") / F.lit(LEAF)).cast("int").alias("parts")))
     zero = F.lit(0)
-    if large.isEmpty():
+    many, large = _counted(large.coalesce(TASKS))
+    if not many:
         dealt = dealt.select("key", zero.alias("low"), zero.alias("high"), *NODE)
     else:
-        large = small(large)
         if not apart:
             by_root = dealt.join(large, "key").groupBy("key", "n", "parts", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key", "n", "parts").agg(F.max(F.struct("m", "root")).alias("t"))
-            large = small(shared(by_root.select("key", "parts", F.when(F.col("n") - F.col("t.m") <= LEAF, F.col("t.root")).alias("top"))))
+            # a row for each row of ``large``
+            top = shared(by_root.select("key", "parts", F.when(F.col("n") - F.col("t.m") <= LEAF, F.col("t.root")).alias("top"))).coalesce(TASKS)
+            large = F.broadcast(top) if many <= BROADCAST_ROWS else top
         dealt = dealt.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         own = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")
         each = F.sequence(zero, F.col("parts") - 1)
@@ -360,7 +370,7 @@ def firsts(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFram
     count = nodes.count()
     bits, tables = plan(count)
     # what is small beside the texts is not spread over all of the session's shuffle partitions
-    tasks = 4 + count // TASK_NODES
+    tasks = TASKS + count // TASK_NODES
     told = named.withColumn("copy", copy_of(F.col("text")))
 
     def texts(ends: DataFrame) -> DataFrame:
@@ -370,18 +380,23 @@ def firsts(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFram
 
     roots = None
     for turn in range(3):
-        own = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        let_go(df.sparkSession)
+        # read several times below: joined once
+        own = nodes.withColumn("root", F.col("node")) if roots is None else shared(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*NODE))
         if turn < 2:
             found = shared(proposed(own, bits, range(min(FIRST, tables) if turn == 0 else tables), apart=turn == 0))
+            let_go(df.sparkSession)
             pairs = shared(found.where("v is not null").coalesce(tasks).distinct().coalesce(tasks))
             new = shared(confirmed(pairs, texts(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())))
         else:
-            only = found.where("v is null").select(F.col("u").alias("key")).distinct()
-            if only.isEmpty():
+            dense = found.where("v is null").select(F.col("u").alias("key"))
+            if not dense.count():
                 break
+            only = shared(dense.coalesce(tasks).distinct().coalesce(tasks))
             new = shared(proposed(own, bits, range(tables), only=only, hashes=lambda ends: _with_hashes(texts(ends))))
-        if roots is None or not new.isEmpty():
+        let_go(df.sparkSession)
+        if roots is None or new.count():
             # what is joined already goes on as stars
-            roots = components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+            roots = components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), AT_ONCE)
     grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     return grouped.agg(F.min("first").alias("first")).select(F.col("first.id").alias(id), "first.copy", "first.n")

@@ -53,6 +53,12 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect its garbage between steps of a long query: its heap shrinks to what is in use, and the shuffles, broadcasts and
+    checkpoints of earlier steps go, which otherwise stay until its heap is full."""
+    spark._jvm.System.gc()
+
+
 #: Rows of ids, keys or hashes up to which a counted table is broadcast (some ten to a hundred bytes a row).
 BROADCAST_ROWS = 200_000
 

@@ -188,6 +188,18 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 140)}, 201: 200}
 
 
+def test_few_edges_are_joined_in_a_few_jobs(spark):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-150, 150, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(None, 7), (7, None), (5000, 5000)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler()
+    began = jobs.numTotalJobs()
+    got = {r.node: r.root for r in components(df, at_once=len(edges)).collect()}
+    assert jobs.numTotalJobs() - began <= 6
+    assert got == {r.node: r.root for r in components(df, at_once=10).collect()} and got[1060] == 1000
+    assert components(df.limit(0), at_once=10).collect() == []
+
+
 # quality
 
 
